@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import dimensions as dim
 from .operators import aggregate, clean, enrich, impact, model, place, scenarios, travel
+from .session import shared_dir
 
 FIRST_DAY, TRAIN_END, LAST_DAY = "2024-01-01", "2024-01-20", "2024-01-31"
 SHIFT_MONTHS = 276  # orders and lineitem run 1995-2001; 23 years later they reach the event month
@@ -22,8 +23,16 @@ def _pick(values: list[str], index) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
 class Inputs:
-    """Lazily built tables over one data folder; nothing runs until an action."""
+    """Tables over one data folder.
+
+    Tables that several later steps share (facts, baselines, statistics, zone
+    results) are written once per session and folder to the shared directory,
+    as the batch pipeline does; everything else stays a lazy plan.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -31,6 +40,14 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _stage(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STAGED:
+            path = f"{shared_dir(self.spark)}/{name}"
+            build().write.parquet(path)
+            _STAGED[key] = path
+        return self.spark.read.parquet(_STAGED[key])
+
     # ---- facts ---------------------------------------------------------------
 
     @cached_property
@@ -71,6 +88,11 @@ class Inputs:
     def cleaned(self) -> DataFrame:
         return clean.clean(self.raw, clean.split_by_date(FIRST_DAY, TRAIN_END, LAST_DAY))
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Cleaned records with their zone's vulnerability, written once."""
+        return self._stage("facts", lambda: enrich.join_vulnerability(self.cleaned))
+
     @cached_property
     def archive(self) -> DataFrame:
         """Orders as dated records of 2018-2024, for the year-based rules."""
@@ -109,7 +131,7 @@ class Inputs:
 
     @cached_property
     def school(self) -> DataFrame:
-        days = enrich.daily_calendar(self.cleaned, "incident_date")
+        days = enrich.daily_calendar(self.facts, "incident_date")
         return enrich.school_days(enrich.within_window(days, F.col("school_date"), FIRST_DAY, LAST_DAY))
 
     @cached_property
@@ -158,10 +180,12 @@ class Inputs:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        star = enrich.star_enrich(
-            self.cleaned, self.weather, self.holidays, self.school, self.event_days, self.transit
+        return self._stage(
+            "enriched",
+            lambda: enrich.star_enrich(
+                self.facts, self.weather, self.holidays, self.school, self.event_days, self.transit
+            ),
         )
-        return enrich.join_vulnerability(star)
 
     # ---- aggregates ----------------------------------------------------------
 
@@ -171,11 +195,15 @@ class Inputs:
 
     @cached_property
     def baselines(self) -> DataFrame:
-        return aggregate.zone_baselines(self.cleaned)
+        return self._stage("baselines", lambda: aggregate.zone_baselines(self.facts))
 
     @cached_property
     def stats(self) -> DataFrame:
-        return aggregate.zone_stats(enrich.join_vulnerability(self.cleaned))
+        return self._stage("stats", lambda: aggregate.zone_stats(self.facts))
+
+    @cached_property
+    def training(self) -> DataFrame:
+        return self._stage("training", lambda: model.training_frame(self.bins, self.baselines, self.stats))
 
     # ---- travel --------------------------------------------------------------
 
@@ -260,24 +288,27 @@ class Inputs:
 
     @cached_property
     def centred(self) -> DataFrame:
-        return place.centroid_placement(self.forecast, "scenario_id")
+        return self._stage("centred", lambda: place.centroid_placement(self.forecast, "scenario_id"))
 
     @cached_property
     def placed(self) -> DataFrame:
         return place.borough_placement(self.forecast, self.units, "scenario_id")
 
-    @cached_property
-    def zone_whatif(self) -> DataFrame:
+    def zone_results(self, points: DataFrame) -> DataFrame:
         return impact.zone_whatif(
-            self.forecast, self.scenarios, self.stats, self.centred, self.zone_matrix, "scenario_id"
+            self.forecast, self.scenarios, self.stats, points, self.zone_matrix, "scenario_id"
         )
 
+    @cached_property
+    def zone_whatif(self) -> DataFrame:
+        return self._stage("zone_whatif", lambda: self.zone_results(self.centred))
+
     # ---- what-if per fact ----------------------------------------------------
 
     @cached_property
     def bin_scenarios(self) -> DataFrame:
         """One scenario per (hour, weekday) that occurs among the cleaned facts."""
-        return self.cleaned.select("hour", F.col("dayofweek").alias("dow")).distinct().select(
+        return self.facts.select("hour", F.col("dayofweek").alias("dow")).distinct().select(
             F.concat_ws("-", "hour", "dow").alias("scenario_id"), "hour", "dow", F.lit(10).alias("month"),
             F.lit(15.0).alias("temperature"), F.lit(0.0).alias("precipitation"), F.lit(10.0).alias("windspeed"),
         )
@@ -310,13 +341,11 @@ class Inputs:
 
     @cached_property
     def acute(self) -> DataFrame:
-        facts = impact.acute_test_facts(enrich.join_vulnerability(self.cleaned))
-        return impact.quantile_band(facts, "svi_score")
+        return impact.quantile_band(impact.acute_test_facts(self.facts), "svi_score")
 
-    @cached_property
-    def whatif(self) -> DataFrame:
-        return impact.fact_whatif(self.acute, self.staged_seconds(self.top_staging), self.fixed_seconds)
+    def fact_results(self, staging: DataFrame, observed: bool = True) -> DataFrame:
+        return impact.fact_whatif(self.acute, self.staged_seconds(staging), self.fixed_seconds, observed)
 
     @cached_property
-    def training(self) -> DataFrame:
-        return model.training_frame(self.bins, self.baselines, self.stats)
+    def whatif(self) -> DataFrame:
+        return self._stage("whatif", lambda: self.fact_results(self.top_staging))

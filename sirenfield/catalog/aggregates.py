@@ -68,7 +68,7 @@ def zone_date_bins(t):
     "SELECT INCIDENT_DISPATCH_AREA, hour, dayofweek, round(zone_baseline_avg, 6) AS zone_baseline_avg FROM x_baselines",
 )
 def zone_baselines(t):
-    return rounded(t.baselines, 6, "zone_baseline_avg")
+    return rounded(agg.zone_baselines(t.cleaned), 6, "zone_baseline_avg")
 
 
 @query(
@@ -85,7 +85,7 @@ _STATS = ["svi_score", "avg_response_seconds", "avg_travel_seconds", "avg_dispat
 
 @query("a05_zone_stats", "SELECT * REPLACE (" + ", ".join(f"round({c}, 4) AS {c}" for c in _STATS) + ") FROM x_stats")
 def zone_stats(t):
-    return rounded(t.stats, 4, *_STATS)
+    return rounded(agg.zone_stats(enrich.join_vulnerability(t.cleaned)), 4, *_STATS)
 
 
 @query(

@@ -390,7 +390,7 @@ def degree_buffer(t):
 @query(
     "f09_arrays",
     """SELECT scenario_id, staging_index, array_to_string(cluster_zones, ',') AS zones, CAST(len(cluster_zones) AS INT) AS n,
-       array_to_string(list_transform(range(24), i -> 0), ',') AS slots FROM x_centred""",
+       array_to_string(list_transform(range(24), lambda i: 0), ',') AS slots FROM x_centred""",
 )
 def arrays(t):
     return t.centred.select(
@@ -405,7 +405,7 @@ _REPLY = """CASE WHEN turn % 2 = 1 THEN text || ' {"controls": {"hour": ' || CAS
 
 @query(
     "f10_control_block",
-    f"""SELECT conv_id, turn, CASE WHEN ok THEN raw END AS controls, CASE WHEN ok THEN TRY_CAST(json_extract_string(CASE WHEN ok THEN raw ELSE '{{}}' END, '$.hour') AS INT) END AS hour,
+    f"""SELECT conv_id, turn, CASE WHEN ok THEN raw END AS controls, CASE WHEN ok THEN json_extract_string(CASE WHEN ok THEN raw ELSE '{{}}' END, '$.hour') END AS hour,
           trim(CASE WHEN ok THEN regexp_replace(reply, '(?i)\\{{"controls"\\s*:\\s*(\\{{[^}}]+\\}})\\}}', '', 'g') ELSE reply END) AS clean_reply
         FROM (SELECT *, raw <> '' AND json_valid(raw) AS ok
               FROM (SELECT conv_id, turn, reply, regexp_extract(reply, '(?i)\\{{"controls"\\s*:\\s*(\\{{[^}}]+\\}})\\}}', 1) AS raw
@@ -423,7 +423,7 @@ def control_block(t):
     controls = text.control_json(F.col("reply"))
     return df.select(
         "conv_id", "turn", controls.alias("controls"),
-        F.from_json(controls, text.CONTROL_SCHEMA)["hour"].alias("hour"),
+        F.from_json(controls, text.CONTROL_SCHEMA)["hour"].cast("string").alias("hour"),
         text.without_control(F.col("reply")).alias("clean_reply"),
     )
 
@@ -518,7 +518,7 @@ def bin_grid(t):
 @query(
     "g04_hour_sweep",
     """SELECT h AS hour, dow, month, zone, round(coalesce(zone_baseline_avg, 5.0::DOUBLE), 4) AS predicted, n
-       FROM (SELECT CAST(unnest(range(hour, 24)) AS INT) AS h, dow, month, count(*) AS n FROM x_valid GROUP BY ALL) s CROSS JOIN x_zones z
+       FROM (SELECT CAST(h AS INT) AS h, dow, month, count(*) AS n FROM (SELECT unnest(range(hour, 24)) AS h, dow, month FROM x_valid) GROUP BY ALL) s CROSS JOIN x_zones z
        LEFT JOIN x_baselines b ON b.INCIDENT_DISPATCH_AREA = z.zone AND b.hour = s.h AND b.dayofweek = s.dow""",
 )
 def hour_sweep(t):

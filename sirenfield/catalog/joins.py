@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dimensions as dim
-from ..operators import enrich, impact, model, place, quality, scenarios, travel
+from ..operators import enrich, impact, model, quality, scenarios, travel
 from . import query
 from .sql import km, km2
 
@@ -14,37 +14,37 @@ ID = "CAD_INCIDENT_ID"
 
 @query(
     "j01_weather_by_hour",
-    """SELECT CAD_INCIDENT_ID, round(w.temperature_2m, 4) AS temperature_2m, w.weathercode FROM x_clean c LEFT JOIN x_weather w ON w.date_hour = c.date_hour""",
+    """SELECT CAD_INCIDENT_ID, round(w.temperature_2m, 4) AS temperature_2m, CAST(w.weathercode AS VARCHAR) AS weathercode FROM x_clean c LEFT JOIN x_weather w ON w.date_hour = c.date_hour""",
 )
 def weather_by_hour(t):
     return enrich.join_weather(t.cleaned, t.weather).select(
-        ID, F.round("temperature_2m", 4).alias("temperature_2m"), "weathercode"
+        ID, F.round("temperature_2m", 4).alias("temperature_2m"), F.col("weathercode").cast("string").alias("weathercode")
     )
 
 
 @query(
     "j02_holiday_by_date",
-    "SELECT CAD_INCIDENT_ID, is_holiday FROM x_clean LEFT JOIN x_holidays ON holiday_date = CAST(date_hour AS DATE)",
+    "SELECT CAD_INCIDENT_ID, CAST(is_holiday AS VARCHAR) AS is_holiday FROM x_clean LEFT JOIN x_holidays ON holiday_date = CAST(date_hour AS DATE)",
 )
 def holiday_by_date(t):
-    return enrich.join_holidays(t.cleaned, t.holidays).select(ID, "is_holiday")
+    return enrich.join_holidays(t.cleaned, t.holidays).select(ID, F.col("is_holiday").cast("string").alias("is_holiday"))
 
 
 @query(
     "j03_school_by_date",
-    "SELECT CAD_INCIDENT_ID, is_school_day FROM x_clean LEFT JOIN x_school ON school_date = CAST(date_hour AS DATE)",
+    "SELECT CAD_INCIDENT_ID, CAST(is_school_day AS VARCHAR) AS is_school_day FROM x_clean LEFT JOIN x_school ON school_date = CAST(date_hour AS DATE)",
 )
 def school_by_date(t):
-    return enrich.join_school(t.cleaned, t.school).select(ID, "is_school_day")
+    return enrich.join_school(t.cleaned, t.school).select(ID, F.col("is_school_day").cast("string").alias("is_school_day"))
 
 
 @query(
     "j04_events_by_date_prefix",
-    """SELECT CAD_INCIDENT_ID, is_major_event FROM x_clean LEFT JOIN x_event_days
+    """SELECT CAD_INCIDENT_ID, CAST(is_major_event AS VARCHAR) AS is_major_event FROM x_clean LEFT JOIN x_event_days
        ON event_date = CAST(date_hour AS DATE) AND zone_prefix = left(INCIDENT_DISPATCH_AREA, 1)""",
 )
 def events_by_date_prefix(t):
-    return enrich.join_event_days(t.cleaned, t.event_days).select(ID, "is_major_event")
+    return enrich.join_event_days(t.cleaned, t.event_days).select(ID, F.col("is_major_event").cast("string").alias("is_major_event"))
 
 
 @query(
@@ -86,7 +86,8 @@ def vulnerability_by_zone(t):
 )
 def feature_assembly(t):
     r = [F.round(c, 6).alias(c) for c in ("zone_baseline_avg", "high_acuity_ratio", "held_ratio")]
-    return t.training.select("INCIDENT_DISPATCH_AREA", "dayofweek", "hour", "split", "incident_count", *r)
+    frame = model.training_frame(t.bins, t.baselines, t.stats)
+    return frame.select("INCIDENT_DISPATCH_AREA", "dayofweek", "hour", "split", "incident_count", *r)
 
 
 @query("j09_drive_matrix", "SELECT * FROM x_station_matrix UNION ALL SELECT * FROM x_zone_matrix")

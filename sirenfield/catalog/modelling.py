@@ -76,7 +76,7 @@ def weighted_centroid(t):
     """SELECT scenario_id, staging_index, borough, predicted_demand_coverage, array_to_string(cluster_zones, ',') AS zones, CAST(zone_count AS INT) AS zone_count, 3500 AS coverage_radius_m FROM x_centred""",
 )
 def point_summary(t):
-    return t.centred.select(
+    return place.centroid_placement(t.forecast, KEY).select(
         KEY, "staging_index", "borough", "predicted_demand_coverage", F.array_join("cluster_zones", ",").alias("zones"),
         "zone_count", "coverage_radius_m",
     )
@@ -117,7 +117,7 @@ def road_matrix(t):
 
 @query("m09_fact_whatif", "SELECT * FROM x_whatif")
 def fact_whatif(t):
-    return t.whatif
+    return t.fact_results(t.top_staging)
 
 
 @query(
@@ -127,15 +127,13 @@ def fact_whatif(t):
 )
 def fact_whatif_fixed(t):
     """The other mode: before is always the nearest fixed station."""
-    df = impact.fact_whatif(t.acute, t.staged_seconds(t.top_staging), t.fixed_seconds, observed=False)
-    return df.select("CAD_INCIDENT_ID", "baseline_drive_sec", "staged_drive_sec", "seconds_saved")
+    return t.fact_results(t.top_staging, observed=False).select("CAD_INCIDENT_ID", "baseline_drive_sec", "staged_drive_sec", "seconds_saved")
 
 
 @query("m09_clustered_whatif")
 def clustered_whatif(t):
     """Per-bin summary with K-Means staging, the full published chain."""
-    staged = t.staged_seconds(t.clustered_staging)
-    return impact.dense_bins(impact.bin_summary(impact.fact_whatif(t.acute, staged, t.fixed_seconds)))
+    return impact.dense_bins(impact.bin_summary(t.fact_results(t.clustered_staging)))
 
 
 @query(
@@ -144,14 +142,13 @@ def clustered_whatif(t):
 )
 def zone_whatif(t):
     r = {"demand": 4, "static_time": 3, "staged_time": 3, "seconds_saved": 3}
-    return t.zone_whatif.select(KEY, "zone", *[F.round(c, d).alias(c) for c, d in r.items()])
+    return t.zone_results(t.centred).select(KEY, "zone", *[F.round(c, d).alias(c) for c, d in r.items()])
 
 
 @query("m10_fair_placement_impact")
 def fair_placement_impact(t):
     """Forecast, borough-fair placement and impact in one job over all scenarios."""
-    rows = impact.zone_whatif(t.forecast, t.scenarios, t.stats, t.placed, t.zone_matrix, KEY)
-    return impact.grouped_impact(rows, KEY)
+    return impact.grouped_impact(t.zone_results(t.placed), KEY)
 
 
 @query("m11_scenario_comparison")

@@ -185,7 +185,7 @@ def _metrics() -> list[Column]:
     return [
         _weighted("static_share").alias("pct_static"),
         _weighted("staged_share").alias("pct_staged"),
-        F.percentile("seconds_saved", F.lit(0.5), "copies").alias("median_saved"),
+        F.percentile("seconds_saved", F.lit(0.5), F.col("copies")).alias("median_saved"),
     ]
 
 
