@@ -26,7 +26,7 @@ def expect(df: DataFrame, name: str, **rules: tuple[Column, Column]) -> DataFram
     the column name ``value``).
     """
     measures = df.agg(*[m.cast("double").alias(rule) for rule, (m, _) in rules.items()])
-    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in rules])
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").alias("value")) for r in rules])
     long = measures.select(F.inline(rows))
     passed = reduce(lambda acc, kv: acc.when(F.col("rule") == kv[0], kv[1][1]), rules.items(), F)
     return long.select(
