@@ -57,6 +57,10 @@ class Inputs:
 
     @cached_property
     def raw(self) -> DataFrame:
+        """The landed raw table, so that filters reach a scan."""
+        return self._stage("raw", self._raw)
+
+    def _raw(self) -> DataFrame:
         """Raw dispatch records; some payload numbers stand for defective rows."""
         k = F.col("k")
         zone = _pick(dim.ZONE_CODES, F.col("event_id") % 31)

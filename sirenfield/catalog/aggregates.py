@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import dimensions as dim
 from ..operators import aggregate as agg
 from ..operators import enrich, graph, impact, model, scenarios
 from . import query
-from .sql import COPIES, CYCLIC, TIER, _values
-from .. import dimensions as dim
+from .sql import COPIES, TIER, _values
 
 
 def rounded(df, digits=4, *names):
@@ -42,10 +42,10 @@ _BIN_ROUND = ["avg_response_seconds", "avg_travel_seconds", "avg_dispatch_second
 
 @query(
     "a03_zone_bins",
-    "SELECT * REPLACE (" + ", ".join(f"round({c}, 3) AS {c}" for c in _BIN_ROUND) + ") FROM x_bins",
+    "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in _BIN_ROUND) + ") FROM x_bins",
 )
 def zone_bins(t):
-    return t.bins.withColumns({c: F.round(c, 3) + 0.0 for c in _BIN_ROUND})
+    return t.bins.withColumns({c: F.round(c, 6) + 0.0 for c in _BIN_ROUND})
 
 
 @query(

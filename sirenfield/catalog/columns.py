@@ -100,7 +100,7 @@ def split_by_date(t):
 @query(
     "p09_cyclical",
     "SELECT CAD_INCIDENT_ID, " + ", ".join(
-        f"round({e.split(' AS ')[0].strip()}, 6) AS {e.split(' AS ')[1].strip()}"
+        f"round({e.split(' AS ')[0].strip()}, 6) + 0.0::DOUBLE AS {e.split(' AS ')[1].strip()}"
         for e in CYCLIC.format(h="hour", d="dayofweek", m="month").split(", ")
     ) + " FROM x_clean",
 )

@@ -100,7 +100,7 @@ def drive_matrix(t):
     "j10_scenario_zone_expansion",
     """SELECT scenario_id, zone, borough, round(zone_baseline_avg, 6) AS zone_baseline_avg, round(svi_score, 4) AS svi_score,
        round(high_acuity_ratio, 6) AS high_acuity_ratio, round(held_ratio, 6) AS held_ratio, is_weekend, is_severe_weather, is_extreme_heat,
-       round(hour_sin, 6) AS hour_sin, round(month_cos, 6) AS month_cos FROM x_forecast""",
+       round(hour_sin, 6) + 0.0::DOUBLE AS hour_sin, round(month_cos, 6) + 0.0::DOUBLE AS month_cos FROM x_forecast""",
 )
 def scenario_zone_expansion(t):
     df = scenarios.expand(t.scenarios, t.baselines, t.stats)
@@ -190,12 +190,12 @@ def _areas(t):
 
 @query(
     "j18_zip_zone_score",
-    f"""SELECT a.c_custkey, zip, zone, round(s.avg_response_seconds, 3) AS avg_response_seconds FROM (SELECT *, coalesce(nullif(trim(zipcode), ''), postal_code) AS zip FROM ({_AREAS})) a
+    f"""SELECT a.c_custkey, zip, zone, round(s.avg_response_seconds, 6) AS avg_response_seconds FROM (SELECT *, coalesce(nullif(trim(zipcode), ''), postal_code) AS zip FROM ({_AREAS})) a
         JOIN x_zip_zone USING (zip) JOIN x_stats s ON s.INCIDENT_DISPATCH_AREA = zone""",
 )
 def zip_zone_score(t):
     scores = t.stats.select(
-        F.col("INCIDENT_DISPATCH_AREA").alias("zone"), F.round("avg_response_seconds", 3).alias("avg_response_seconds")
+        F.col("INCIDENT_DISPATCH_AREA").alias("zone"), F.round("avg_response_seconds", 6).alias("avg_response_seconds")
     )
     out = travel.zips_with_scores(_areas(t), F.broadcast(scores), "zipcode", "postal_code")
     return out.select("c_custkey", "zip", "zone", "avg_response_seconds")

@@ -138,10 +138,10 @@ def clustered_whatif(t):
 
 @query(
     "m10_zone_whatif",
-    """SELECT scenario_id, zone, round(demand, 4) AS demand, round(static_time, 3) AS static_time, round(staged_time, 3) AS staged_time, round(seconds_saved, 3) AS seconds_saved FROM x_zone_whatif""",
+    """SELECT scenario_id, zone, round(demand, 4) AS demand, round(static_time, 6) AS static_time, round(staged_time, 6) AS staged_time, round(seconds_saved, 6) AS seconds_saved FROM x_zone_whatif""",
 )
 def zone_whatif(t):
-    r = {"demand": 4, "static_time": 3, "staged_time": 3, "seconds_saved": 3}
+    r = {"demand": 4, "static_time": 6, "staged_time": 6, "seconds_saved": 6}
     return t.zone_results(t.centred).select(KEY, "zone", *[F.round(c, d).alias(c) for c, d in r.items()])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dimensions as dim
 from ..functions.calendar import is_weekend, with_cyclical
 from ..functions.weather import extreme_heat, severe_by_rain, weather_preset
+from ..session import spread
 from .aggregate import ZONE
 from .travel import each_zone
 
@@ -74,7 +75,8 @@ def expand(
 ) -> DataFrame:
     """Scenario x zone rows with the model's features.
 
-    Zones come from a literal array (no join); baselines (at most 5,208 rows)
+    Scenario rows are few bytes but each becomes 31 scored rows, hence the
+    explicit width before the fan-out. Zones come from a literal array (no join); baselines (at most 5,208 rows)
     and zone statistics (31 rows) are broadcast. ``zone_defaults`` fills
     missing ratios from the per-zone table, otherwise from the city means.
     ``overrides`` replace single features, for example an event flag that
@@ -88,8 +90,9 @@ def expand(
     )
     z = dim.zones(scenarios.sparkSession).select("zone", "acuity_default", "held_default")
     acuity, held = (F.col("acuity_default"), F.col("held_default")) if zone_defaults else (F.lit(0.23), F.lit(0.06))
+    by = ["scenario_id"] if "scenario_id" in scenarios.columns else scenarios.columns
     df = (
-        each_zone(scenarios)
+        each_zone(spread(scenarios, *by))
         .select("*", "z.*")
         .drop("z")
         .withColumnRenamed("zone_borough", "borough")

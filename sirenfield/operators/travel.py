@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import dimensions as dim
 from ..functions.geo import drive_seconds, great_circle_km, great_circle_km_atan2, planar_d2
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 
 def each_zone(df: DataFrame, alias: str = "z") -> DataFrame:
@@ -99,15 +99,17 @@ def staged_drive(points: DataFrame, matrix: DataFrame, keys: list[str], factor:
 
     A point within 2 km of a zone's centre may borrow that zone's matrix row
     (not slowed by weather); the direct great-circle time at weather-reduced
-    speed always competes. One pass: points fan out to zones in their task, and
-    points of one key already share a partition.
+    speed always competes. One pass: points of a key meet in one partition and fan
+    out to zones there, so the minimum needs no further shuffle.
     """
     lon, lat = F.col("lon"), F.col("lat")
     close = F.filter(
         dim.zone_array(), lambda z: great_circle_km_atan2(lon, lat, z["lon"], z["lat"]) < dim.BORROW_RADIUS_KM
     )
-    near = points.select(*keys, factor, "lon", "lat", F.transform(close, lambda z: z["zone"]).alias("near"))
-    fan = each_zone(near).select(*keys, factor, "lon", "lat", "near", "z.zone", F.col("z.lon").alias("z_lon"), F.col("z.lat").alias("z_lat"))
+    near = spread(points, *keys).select(*keys, factor, "lon", "lat", F.transform(close, lambda z: z["zone"]).alias("near"))
+    fan = each_zone(near).select(
+        *keys, factor, "lon", "lat", "near", "z.zone", F.col("z.lon").alias("z_lon"), F.col("z.lat").alias("z_lat")
+    )
     km = great_circle_km_atan2(lon, lat, F.col("z_lon"), F.col("z_lat"))
     direct = km / (F.lit(dim.URBAN_KMH) / F.col(factor)) * 3600
     borrowed = F.array_min(F.transform("near", lambda o: F.col("legs")[o]))
