@@ -15,7 +15,9 @@ from ..operators.clean import RAW_SCHEMA
 def read_incident_csv(spark: SparkSession, path: str, timestamp_format: str | None = None) -> DataFrame:
     """Header CSV with all columns as text; malformed rows are dropped and
     unreadable timestamps become NULL (and fall to the quality filter)."""
-    df = spark.read.schema(RAW_SCHEMA).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    df = spark.read.schema(RAW_SCHEMA).option("header", True).option("mode", "DROPMALFORMED").option(
+        "columnPruning", False
+    ).csv(path)
     fmt = [F.lit(timestamp_format)] if timestamp_format else []
     parsed = F.try_to_timestamp(F.col("INCIDENT_DATETIME"), *fmt).cast("timestamp_ntz")
     return df.withColumn("INCIDENT_DATETIME", parsed)
@@ -98,7 +100,7 @@ def read_stations(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 def read_keyed_object(spark: SparkSession, path: str, value_type: str, key: str = "zone") -> DataFrame:
     """One JSON object per file, keyed by zone, to one row per key."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return keyed_rows(text.select("value"), "value", value_type, key)
 
 
