@@ -144,16 +144,27 @@ def lloyd(points: Column, k: Column, rounds: int = ROUNDS) -> Column:
         labelled(points, lambda p: F.lit(-1), lambda p: F.lit(-2)).alias("points"),
         F.lit(False).alias("settled"),
     )
-    return F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds)), start, step)
+    many = F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds)), start, step)
+
+    # a single cluster is its weighted centre, no iteration needed
+    whole = labelled(points, lambda p: F.lit(0), lambda p: F.lit(0))
+    origin = F.array(F.struct(F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")))
+    centre = recentre({"centres": origin, "points": whole})
+    single = F.struct(centre.alias("centres"), whole.alias("points"), F.lit(True).alias("settled"))
+    return F.when(k == 1, single).otherwise(many)
 
 
 def _clusters(grouped: DataFrame, keep: list[str], rounds: int) -> DataFrame:
-    """Runs the iteration on (points, k) and returns one row per cluster."""
+    """Runs the iteration on (points, k) and returns one row per cluster.
+
+    The outer form of the explode matters: for the inner one the optimizer adds a
+    filter on the array's size, which would run the whole iteration again.
+    """
     state = grouped.withColumn("state", lloyd(F.col("points"), F.col("k"), rounds))
     return state.select(
         *keep,
         F.col("state.points").alias("points"),
-        F.posexplode("state.centres").alias("label", "centre"),
+        F.posexplode_outer("state.centres").alias("label", "centre"),
     ).select(
         *keep,
         "label",
