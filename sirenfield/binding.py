@@ -126,6 +126,9 @@ class Inputs:
 
     @cached_property
     def weather(self) -> DataFrame:
+        return self._stage("weather", self.weather_hours)
+
+    def weather_hours(self) -> DataFrame:
         hourly = enrich.within_window(self.weather_raw, F.to_date("date_hour"), FIRST_DAY, LAST_DAY)
         return enrich.with_weather_flags(hourly)
 
@@ -136,7 +139,8 @@ class Inputs:
     @cached_property
     def school(self) -> DataFrame:
         days = enrich.daily_calendar(self.facts, "incident_date")
-        return enrich.school_days(enrich.within_window(days, F.col("school_date"), FIRST_DAY, LAST_DAY))
+        days = enrich.within_window(days, F.col("school_date"), FIRST_DAY, LAST_DAY)
+        return self._stage("school", lambda: enrich.school_days(days))
 
     @cached_property
     def permits(self) -> DataFrame:
@@ -164,7 +168,9 @@ class Inputs:
     @cached_property
     def event_days(self) -> DataFrame:
         days = enrich.event_days(self.major_events, LAST_DAY)
-        return enrich.within_window(days, F.col("event_date"), FIRST_DAY, LAST_DAY)
+        return self._stage(
+            "event_days", lambda: enrich.within_window(days, F.col("event_date"), FIRST_DAY, LAST_DAY)
+        )
 
     @cached_property
     def transit_feed(self) -> DataFrame:
@@ -180,7 +186,7 @@ class Inputs:
 
     @cached_property
     def transit(self) -> DataFrame:
-        return enrich.transit_monthly(self.transit_feed, "month", "count")
+        return self._stage("transit", lambda: enrich.transit_monthly(self.transit_feed, "month", "count"))
 
     @cached_property
     def enriched(self) -> DataFrame:

@@ -93,7 +93,7 @@ def zone_stats(t):
     "SELECT year, month_num, monthly_subway_incidents, round(subway_disruption_idx, 6) AS subway_disruption_idx FROM x_transit",
 )
 def transit_min_max(t):
-    return rounded(t.transit, 6, "subway_disruption_idx")
+    return rounded(enrich.transit_monthly(t.transit_feed, "month", "count"), 6, "subway_disruption_idx")
 
 
 _PROFILE = {

@@ -140,30 +140,30 @@ def fill(df: DataFrame, defaults: dict) -> DataFrame:
 
 def join_weather(facts: DataFrame, weather: DataFrame) -> DataFrame:
     cols = [c for c in ENRICHMENT_DEFAULTS if c in weather.columns]
-    return facts.join(F.broadcast(weather.select("date_hour", *cols)), "date_hour", "left")
+    return facts.join(weather.select("date_hour", *cols), "date_hour", "left")
 
 
 def join_holidays(facts: DataFrame, table: DataFrame) -> DataFrame:
     on = F.to_date(facts["date_hour"]) == table["holiday_date"]
-    return facts.join(F.broadcast(table), on, "left").drop("holiday_date")
+    return facts.join(table, on, "left").drop("holiday_date")
 
 
 def join_school(facts: DataFrame, table: DataFrame) -> DataFrame:
     on = F.to_date(facts["date_hour"]) == table["school_date"]
-    return facts.join(F.broadcast(table), on, "left").drop("school_date")
+    return facts.join(table, on, "left").drop("school_date")
 
 
 def join_event_days(facts: DataFrame, table: DataFrame) -> DataFrame:
     on = (F.to_date(facts["date_hour"]) == table["event_date"]) & (
         F.substring(facts["INCIDENT_DISPATCH_AREA"], 1, 1) == table["zone_prefix"]
     )
-    return facts.join(F.broadcast(table), on, "left").drop("event_date", "zone_prefix")
+    return facts.join(table, on, "left").drop("event_date", "zone_prefix")
 
 
 def join_transit(facts: DataFrame, monthly: DataFrame) -> DataFrame:
     m = monthly.select(F.col("year").alias("t_year"), F.col("month_num").alias("t_month"), "subway_disruption_idx")
     on = (F.year(facts["date_hour"]) == m["t_year"]) & (F.month(facts["date_hour"]) == m["t_month"])
-    return facts.join(F.broadcast(m), on, "left").drop("t_year", "t_month")
+    return facts.join(m, on, "left").drop("t_year", "t_month")
 
 
 def join_vulnerability(facts: DataFrame) -> DataFrame:
@@ -181,8 +181,9 @@ def star_enrich(
 ) -> DataFrame:
     """Five dimensions in one stage; the facts are neither shuffled nor sorted.
 
-    Every dimension must already lie inside the study window (see
-    :func:`within_window`), so its size follows from the window alone.
+    The joins carry no hint: hand in dimensions cut to the study window (see
+    :func:`within_window`) and written as tables. Spark then reads their size
+    from the files, broadcasts them below its threshold and joins by shuffle above.
     """
     df = join_weather(facts, weather)
     df = join_holidays(df, holiday)

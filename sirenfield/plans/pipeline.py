@@ -30,11 +30,19 @@ class Pipeline:
         extra_holidays: tuple[str, ...] = (),
     ) -> DataFrame:
         """``weather``: hourly rows; ``events``: accepted events; ``transit``: monthly index."""
-        span = facts.select(F.explode(F.array(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("d")).limit(2)
+        span = self.spark.range(1).select(F.explode(F.array(*[F.lit(d).cast("date") for d in (first, last)])).alias("d"))
         days = enrich.school_days(enrich.daily_calendar(span, "d"))
         hourly = enrich.within_window(enrich.with_weather_flags(weather, None), F.to_date("date_hour"), first, last)
         marked = enrich.within_window(enrich.event_days(events, last), F.col("event_date"), first, last)
-        star = enrich.star_enrich(facts, hourly, enrich.holidays(self.spark, extra_holidays), days, marked, transit)
+        # published, so that the joins know their sizes
+        tables = [
+            self.publish(name, df)
+            for name, df in (
+                ("weather_hourly", hourly), ("holidays", enrich.holidays(self.spark, extra_holidays)),
+                ("school_days", days), ("event_days", marked), ("transit_monthly", transit),
+            )
+        ]
+        star = enrich.star_enrich(facts, *tables)
         return self.publish("incidents_enriched", enrich.join_vulnerability(star), ("split",))
 
     def aggregate(self, enriched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

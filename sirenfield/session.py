@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,12 +49,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only after counting that ``df`` has at most ``max_rows``
-    rows; a larger table stays unhinted and takes Spark's shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partitions by ``keys`` into the session's full shuffle width.
 
