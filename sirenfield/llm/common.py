@@ -47,3 +47,8 @@ def width(spark: SparkSession) -> int:
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once per row, also where ``use`` names it inside a lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter over computed columns that stays above them: pushed down, it would repeat every expression it is made of."""
+    return df.withColumn("_row_no", F.monotonically_increasing_id()).where(condition & (F.col("_row_no") >= 0)).drop("_row_no")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, simhash
+from . import chat, lines, mixing, packing, quality, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,39 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE["op3_line_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS at, unnest(l) AS x
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), worded AS (
+  SELECT doc_id, at, x, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS line
+  FROM split WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
+), windows AS (
+  SELECT doc_id, line, x || chr(10) || lead(x, 1) OVER w || chr(10) || lead(x, 2) OVER w AS run FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+), placed AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS i FROM windows WHERE run IS NOT NULL
+), gone AS (
+  SELECT DISTINCT doc_id, line + d AS line FROM placed, (VALUES (0), (1), (2)) v(d) WHERE i > 1
+), marked AS (
+  SELECT s.doc_id, s.at, s.x, w.line IS NOT NULL AS has_word, g.line IS NOT NULL AS dropped,
+         g.line IS NOT NULL AND h.line IS NULL AS begins
+  FROM split s LEFT JOIN worded w ON s.doc_id = w.doc_id AND s.at = w.at
+  LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.line = w.line LEFT JOIN gone h ON h.doc_id = w.doc_id AND h.line = w.line - 1
+)
+SELECT doc_id, count(*) FILTER (WHERE has_word) AS n_lines, count(*) FILTER (WHERE dropped) AS n_removed,
+       count(*) FILTER (WHERE begins) AS n_runs, sha256(coalesce(string_agg(x, chr(10) ORDER BY at) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
