@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, packing, quality, simhash
+from . import chat, lines, mixing, packing, quality, secrets, simhash, tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,23 @@ FROM marked GROUP BY doc_id
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return tokens.read_ids(spark, tokens.write_ids(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs.select("doc_id", "text"), secrets.train(secrets.labelled_strings(docs)))
+    base = ["assign", "access", "hex"]
+    return found.select(
+        "row.doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(secrets.listed(*map(F.col, base)), 256).alias("base_sha256"),
+        secrets.listed(*map(F.col, secrets.KINDS)).alias("spans"), F.size("markov").cast("long").alias("n_markov"),
+    )
