@@ -22,8 +22,8 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Inverse of :func:`escape`: each backslash goes, the character after it stays; an inserted one protects nothing else."""
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    """Inverse of :func:`escape`: each backslash goes, the character after it stays (at the end there is none)."""
+    return F.regexp_replace(text, r"(?s)\\(.?)", "$1")
 
 
 def text_part(text: Column) -> Column:
