@@ -17,7 +17,7 @@ KEY = "scenario_id"
     """SELECT strftime(date_hour, '%Y-%m-%d %H:%M:%S') AS date_hour, round(temperature_2m, 4) AS temperature_2m, is_severe_weather, is_extreme_heat, is_heat_emergency FROM x_weather""",
 )
 def heat_emergency(t):
-    return t.weather_hours().select(
+    return enrich.with_weather_flags(t.weather_raw).select(
         F.date_format("date_hour", "yyyy-MM-dd HH:mm:ss").alias("date_hour"),
         F.round("temperature_2m", 4).alias("temperature_2m"), "is_severe_weather", "is_extreme_heat", "is_heat_emergency",
     )

@@ -164,7 +164,6 @@ DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 
 THRESHOLD_SECONDS = 480
 UNREACHABLE_SECONDS = 9999
-BIN_CAP = 150
 COVERAGE_RADIUS_M = 3500
 EARTH_RADIUS_KM = 6371.0
 CIRCUITY = 1.35

@@ -25,12 +25,6 @@ ENRICHMENT_DEFAULTS = {
 SVI_DEFAULT = 0.5
 
 
-def within_window(df: DataFrame, day: Column, first: str, last: str) -> DataFrame:
-    """Restricts a dimension to the study window, which bounds its row count
-    (hours, days or months in the window) before it is broadcast."""
-    return df.filter(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-
-
 def heat_emergency(temperature: Column, trailing_max: Column) -> Column:
     return ((temperature >= EXTREME_HEAT_C) | (trailing_max >= SUSTAINED_HEAT_C)).cast("int")
 
@@ -139,7 +133,13 @@ def fill(df: DataFrame, defaults: dict) -> DataFrame:
 
 
 def join_weather(facts: DataFrame, weather: DataFrame) -> DataFrame:
+    """By hour, and by location where the facts have one; otherwise each hour counts once, for the first location by name."""
     cols = [c for c in ENRICHMENT_DEFAULTS if c in weather.columns]
+    if "location" in weather.columns and "location" in facts.columns:
+        return facts.join(weather.select("date_hour", "location", *cols), ["date_hour", "location"], "left")
+    if "location" in weather.columns:
+        first = F.min_by(F.struct(*cols), F.col("location")).alias("w")
+        weather = weather.groupBy("date_hour").agg(first).select("date_hour", "w.*")
     return facts.join(weather.select("date_hour", *cols), "date_hour", "left")
 
 
@@ -181,8 +181,7 @@ def star_enrich(
 ) -> DataFrame:
     """Five dimensions in one stage; the facts are neither shuffled nor sorted.
 
-    The joins carry no hint: hand in dimensions cut to the study window (see
-    :func:`within_window`) and written as tables. Spark then reads their size
+    The joins carry no hint: hand in dimensions written as tables. Spark then reads their size
     from the files, broadcasts them below its threshold and joins by shuffle above.
     """
     df = join_weather(facts, weather)

@@ -10,7 +10,7 @@ from ..session import cut_lineage
 from .travel import estimated_matrix
 
 
-def least_costs(edges: DataFrame, origins: DataFrame, max_rounds: int = 10_000, cut_every: int = 1) -> DataFrame:
+def least_costs(edges: DataFrame, origins: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(origin, node, cost) for every node reachable from an origin.
 
     ``edges``: src, dst, cost (non-negative). ``origins``: origin, node.

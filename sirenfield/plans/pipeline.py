@@ -26,14 +26,13 @@ class Pipeline:
         return self.publish("incidents_cleaned", clean.clean(raw, split), ("split",))
 
     def enrich(
-        self, facts: DataFrame, weather: DataFrame, events: DataFrame, transit: DataFrame, first: str, last: str,
+        self, facts: DataFrame, weather: DataFrame, events: DataFrame, transit: DataFrame, last: str,
         extra_holidays: tuple[str, ...] = (),
     ) -> DataFrame:
-        """``weather``: hourly rows; ``events``: accepted events; ``transit``: monthly index."""
-        span = self.spark.range(1).select(F.explode(F.array(*[F.lit(d).cast("date") for d in (first, last)])).alias("d"))
-        days = enrich.school_days(enrich.daily_calendar(span, "d"))
-        hourly = enrich.within_window(enrich.with_weather_flags(weather, None), F.to_date("date_hour"), first, last)
-        marked = enrich.within_window(enrich.event_days(events, last), F.col("event_date"), first, last)
+        """``weather``: hourly rows; ``events``: accepted events, cut at the day ``last``; ``transit``: monthly index."""
+        days = enrich.school_days(enrich.daily_calendar(facts, "incident_date"))
+        hourly = enrich.with_weather_flags(weather, "location" if "location" in weather.columns else None)
+        marked = enrich.event_days(events, last)
         # published, so that the joins know their sizes
         tables = [
             self.publish(name, df)

@@ -6,21 +6,34 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.clean import RAW_SCHEMA
 
+US_TIMESTAMP = "MM/dd/yyyy hh:mm:ss a"
+
 
 def read_incident_csv(spark: SparkSession, path: str, timestamp_format: str | None = None) -> DataFrame:
-    """Header CSV with all columns as text; malformed rows are dropped and
-    unreadable timestamps become NULL (and fall to the quality filter)."""
-    df = spark.read.schema(RAW_SCHEMA).option("header", True).option("mode", "DROPMALFORMED").option(
+    """Header CSV with all columns as text, found by their names: files may hold more of them, in any order.
+
+    All files of ``path`` share one header. Missing columns raise an error, malformed rows are dropped, and timestamps
+    that are neither ISO nor in US form (nor in ``timestamp_format``, if given) become NULL and fall to the quality filter.
+    """
+    wanted = StructType.fromDDL(RAW_SCHEMA).names if isinstance(RAW_SCHEMA, str) else RAW_SCHEMA.names
+    header = spark.read.option("header", True).csv(path).columns
+    if missing := [c for c in wanted if c not in header]:
+        raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
+    schema = StructType([StructField(c, StringType()) for c in header])
+    # enforceSchema off: Spark compares the header of every file with the schema
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "DROPMALFORMED").option(
         "columnPruning", False
     ).csv(path)
-    fmt = [F.lit(timestamp_format)] if timestamp_format else []
-    parsed = F.try_to_timestamp(F.col("INCIDENT_DATETIME"), *fmt).cast("timestamp_ntz")
-    return df.withColumn("INCIDENT_DATETIME", parsed)
+    forms = [F.lit(timestamp_format)] if timestamp_format else [None, F.lit(US_TIMESTAMP)]
+    parsed = F.coalesce(*[F.try_to_timestamp(F.col("INCIDENT_DATETIME"), *([f] if f is not None else [])) for f in forms])
+    return df.select(*wanted).withColumn("INCIDENT_DATETIME", parsed.cast("timestamp_ntz"))
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -54,14 +67,24 @@ class VersionedTable:
     def read(self, columns: list[str] | None = None) -> DataFrame:
         return read_table(self.spark, self.current(), columns)
 
-    def replace(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        version = f"v-{uuid.uuid4().hex}"
-        write_table(df, f"{self.path}/{version}", partition_by)
+    def _claim(self) -> int:
+        """A version number of one's own: the file that stands for it can be created once only."""
         try:
             last = self._entries().agg(F.max("seq")).first()[0] or 0
-        except Exception:  # no log yet: first version
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # anything else must not pass for a first version
+                raise
             last = 0
-        entry = self.spark.range(1).select(F.lit(last + 1).cast("long").alias("seq"), F.lit(version).alias("version"))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        while not fs.createNewFile(path(f"{self.path}/claims/{last + 1}")):
+            last += 1
+        return last + 1
+
+    def replace(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        version = f"v-{uuid.uuid4().hex}"
+        write_table(df, f"{self.path}/{version}", partition_by)
+        entry = self.spark.range(1).select(F.lit(self._claim()).cast("long").alias("seq"), F.lit(version).alias("version"))
         entry.coalesce(1).write.mode("append").json(self.log)
         return self.read()
 

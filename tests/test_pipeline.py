@@ -7,7 +7,7 @@ def test_batch_run(spark, tmp_path):
     t = Inputs(spark, "/root/testdata/sf0.001")
     run = Pipeline(spark, str(tmp_path))
     facts = run.ingest(t.raw, clean.split_by_date(FIRST_DAY, TRAIN_END, LAST_DAY))
-    enriched = run.enrich(facts, t.weather_raw, t.major_events, t.transit, FIRST_DAY, LAST_DAY)
+    enriched = run.enrich(facts, t.weather_raw, t.major_events, t.transit, LAST_DAY)
     assert enriched.count() == facts.count() == t.facts.count()
     bins, baselines, stats = run.aggregate(enriched)
     assert bins.agg({"incident_count": "sum"}).first()[0] == facts.count()
