@@ -1,7 +1,7 @@
 """Suffix dedup: repeated 100-byte strings by a depth-limited radix sort, most significant digit first.
 
 Sorting a suffix at every byte would move a hundred times the corpus. So suffixes are first sorted by a digit that few of
-them need to send: of the 32-byte strings in a window the one with the least hash is its anchor, and equal windows have equal
+them need to send: of the 24-byte strings in a window the one with the least hash is its anchor, and equal windows have equal
 anchors at the same place. Pass 1 groups the windows by anchor, one row for the run of windows that share it, and drops what
 is alone. Pass 2 sends the bytes of the surviving runs and sorts their windows, digit by digit, to a depth of 100 bytes; a
 group of equal windows at that depth is a repeated string, and all but its first member are marked. Each pass drops groups
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 DEPTH = 100
-CORE = 32
+CORE = 24
 DIGIT = 25
 #: windows that one piece of a text holds, and bytes that are hashed at a time
 PIECE = 1 << 22
@@ -173,6 +173,7 @@ def _contexts(depth: int):
             out: dict[str, list] = {c.split()[0]: [] for c in _CONTEXT.split(", ")}
             first: dict[tuple, int] = {}
             before: dict[int, int] = {}
+            marks: list[tuple] = []
             ids, ts = batch.column("doc_id").to_numpy(), batch.column("t").to_numpy()
             wanted: dict[int, tuple] = {}
             for row, at, data, (names, anchor, start, count) in _documents(batch, depth):
@@ -190,22 +191,30 @@ def _contexts(depth: int):
                     rel = int(anchor[k]) - s
                     place = (int(ids[row]), int(ts[row]), at + s)
                     same = first.get((rel, body))
-                    if same is None:
-                        first[rel, body] = len(out["h"])
-                    else:
+                    if same is not None:
                         held = (out["doc_id"][same], out["t"][same], out["lo"][same])
-                        if place == held:  # a repeated row is the same document
-                            continue
                         if place < held:  # the earlier one stays
                             out["doc_id"][same], out["t"][same], out["lo"][same] = place
-                            place = held
-                        h, body = 0, None
+                        if place != held:  # equal places: a repeated row, which is the same document
+                            marks.append((*max(place, held), n))
+                        continue
+                    first[rel, body] = len(out["h"])
                     salt = 1 + place[0] % (SALTS - 1) if hot else 0
-                    # marks go anywhere
-                    for c, v in zip(out, (h if body is not None else hash(place), salt, *place, n, rel, hot, body)):
+                    for c, v in zip(out, (h, salt, *place, n, rel, hot, body)):
                         out[c].append(v)
             if out["h"]:
                 yield pa.RecordBatch.from_pydict(out, schema=_schema(_CONTEXT))
+            if marks:
+                doc, t, lo, n = (np.array(x, np.int64) for x in zip(*sorted(set(marks))))
+                # neighbours in one document are one mark
+                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (lo[1:] != lo[:-1] + n[:-1])])
+                at = np.flatnonzero(new)
+                count = np.add.reduceat(n, at).astype(np.int32)
+                zero, m = np.zeros(len(at), np.int32), len(at)
+                yield _record({
+                    "h": doc[at] ^ lo[at], "salt": zero, "doc_id": doc[at], "t": t[at], "lo": lo[at], "n": count, "rel": zero,
+                    "hot": np.zeros(m, bool), "bytes": pa.nulls(m, pa.binary()),
+                })
 
     return run
 
@@ -369,7 +378,10 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> D
     bytes keep all. Other columns are not read.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    name = F.xxhash64("text")
+    # where every doc_id has one text, as it should, nothing more is carried to tell rows apart
+    apart = rows.groupBy("doc_id").agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b")
+    rows = rows.select("doc_id", (F.lit(0).cast("long") if apart.isEmpty() else name).alias("t"), "text")
     anchors = rows.mapInArrow(_anchors(depth), "h long, salt int, known int, doc_id long, t long, run int")
     alone = anchors.repartition("h", "salt").sortWithinPartitions("h", "salt", "known")
     shared = alone.mapInArrow(_shared, "doc_id long, t long, run int, hot boolean")
