@@ -13,7 +13,9 @@ reader can decompress the whole file, since skippable frames are passed over.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -116,12 +118,66 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
-def _encode(folder: str, tokenizer: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# characters whose classes are the same in every Unicode version, and the published split of byte-level BPE over them
+_LETTER, _DIGIT, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r\xa0"
+_KNOWN = "[\t\n\r -~\xa0-ɏ]*"
+_PIECE = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_BLANK}{_LETTER}{_DIGIT}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+#: pieces that a task remembers
+MAX_PIECES = 1_000_000
+
+
+class Encoder:
+    """Ids of texts as little-endian bytes, by the tokenizers library.
+
+    Byte-level BPE encodes each piece of a text by itself, so every piece is encoded once and remembered. Texts with other
+    characters or with an added token in them, and tokenizers of another kind, go through the library as they are.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
-        tok = None
+        self.tok, self.pieces = Tokenizer.from_file(path), {}
+        kind = json.loads(self.tok.to_str())
+        split = {k: (kind["pre_tokenizer"] or {}).get(k) for k in ("type", "add_prefix_space", "use_regex")}
+        self.by_piece = split == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and not kind["normalizer"]
+        self.added = [t["content"] for t in kind["added_tokens"]]
+        self.known, self.piece = re.compile(_KNOWN), re.compile(_PIECE)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes new pieces in one text, a line each: the line ends are pieces of their own and drop out."""
+        coded = self.tok.encode("\n".join(new), add_special_tokens=False)
+        ids, cut = np.array(coded.ids, "<u4"), np.flatnonzero(np.diff(np.array(coded.word_ids, np.int64))) + 1
+        edge = [0, *cut.tolist(), len(ids)]
+        if len(edge) != 2 * len(new):  # not one piece a line after all
+            self.pieces.update(zip(new, self._whole(new)))
+            return
+        raw = ids.tobytes()
+        self.pieces.update((w, raw[4 * edge[2 * k] : 4 * edge[2 * k + 1]]) for k, w in enumerate(new))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        fast = [self.by_piece and self.known.fullmatch(t) is not None and not any(a in t for a in self.added) for t in texts]
+        parts = [self.piece.findall(t) if f else [] for t, f in zip(texts, fast)]
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces.clear()
+        held = self.pieces
+        new = list({w for p in parts for w in p if w not in held})
+        blank = [w for w in new if w.isspace()]
+        if blank:
+            held.update(zip(blank, self._whole(blank)))
+        if len(blank) < len(new):
+            self._learn([w for w in new if not w.isspace()])
+        slow = iter(self._whole([t for t, f in zip(texts, fast) if not f]))
+        return [b"".join([held[w] for w in p]) if f else next(slow) for p, f in zip(parts, fast)]
+
+
+def _encode(folder: str, tokenizer: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        end = np.array([end_id], "<u4").tobytes()
         writer = out = None
         first = last = None
         task = TaskContext.get()
@@ -132,15 +188,15 @@ def _encode(folder: str, tokenizer: str, end_id: int):
                 part = batch.slice(at, 256)
                 if not part.num_rows:
                     continue
-                if tok is None:
-                    tok = Tokenizer.from_file(tokenizer)
+                if encoder is None:
+                    encoder = Encoder(tokenizer)
                     store, path = _store(name)
                     store.create_dir(path.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(path, compression=None)
                     writer = Writer(out)
                 texts = part.column("text").to_pylist()
-                for doc_id, coded in zip(part.column("doc_id").to_pylist(), tok.encode_batch_fast(texts, add_special_tokens=False)):
-                    writer.add(NO_ID if doc_id is None else doc_id, np.array([*coded.ids, end_id], np.uint32))
+                for doc_id, coded in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
+                    writer.add(NO_ID if doc_id is None else doc_id, np.frombuffer(coded + end, "<u4"))
                     first, last = doc_id if first is None else first, doc_id
         if writer is not None:
             writer.close()

@@ -412,6 +412,20 @@ def test_token_files(spark, docs, by_id, tmp_path, monkeypatch):
     assert len(reader.frame(0))
 
 
+def test_encoder_equals_the_library(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    draw = random.Random(6)
+    odd = ["".join(draw.choices("ab's'll <|endoftext|>\t\n \xa0é²½×÷ªDž12,.-_\x1c\x85中😀", k=draw.randint(0, 60))) for _ in range(800)]
+    odd += ["<|endoftext|>", " x  y   z \n\n q", "'s 's's", "a\r\nb", "\n", "   ", "don't WE'LL we'll", "x\u00adx", *[t or "" for t in texts]]
+    for k in range(0, len(odd), 50):
+        part = odd[k : k + 50]
+        assert own.encode(part) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+
+
 def test_token_edges(spark, empty, odd):
     import public_tokenizers
 
