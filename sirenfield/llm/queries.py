@@ -120,10 +120,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op3_line_dedup"] = r"""
 WITH split AS (
-  SELECT doc_id, generate_subscripts(l, 1) AS at, unnest(l) AS x
+  SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS x
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 ), worded AS (
-  SELECT doc_id, at, x, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS line
+  SELECT doc_id, pos, x, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line
   FROM split WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
 ), windows AS (
   SELECT doc_id, line, x || chr(10) || lead(x, 1) OVER w || chr(10) || lead(x, 2) OVER w AS run FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY line)
@@ -132,13 +132,13 @@ WITH split AS (
 ), gone AS (
   SELECT DISTINCT doc_id, line + d AS line FROM placed, (VALUES (0), (1), (2)) v(d) WHERE i > 1
 ), marked AS (
-  SELECT s.doc_id, s.at, s.x, w.line IS NOT NULL AS has_word, g.line IS NOT NULL AS dropped,
+  SELECT s.doc_id, s.pos, s.x, w.line IS NOT NULL AS has_word, g.line IS NOT NULL AS dropped,
          g.line IS NOT NULL AND h.line IS NULL AS begins
-  FROM split s LEFT JOIN worded w ON s.doc_id = w.doc_id AND s.at = w.at
+  FROM split s LEFT JOIN worded w ON s.doc_id = w.doc_id AND s.pos = w.pos
   LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.line = w.line LEFT JOIN gone h ON h.doc_id = w.doc_id AND h.line = w.line - 1
 )
 SELECT doc_id, count(*) FILTER (WHERE has_word) AS n_lines, count(*) FILTER (WHERE dropped) AS n_removed,
-       count(*) FILTER (WHERE begins) AS n_runs, sha256(coalesce(string_agg(x, chr(10) ORDER BY at) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+       count(*) FILTER (WHERE begins) AS n_runs, sha256(coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 
