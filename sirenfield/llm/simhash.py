@@ -90,18 +90,6 @@ def block_masks(blocks: int, equal: int) -> list[tuple[int, ...]]:
     return [(sum(part[i] for i in c),) for c in combinations(range(blocks), equal)]
 
 
-def sampled_masks(words: int, bits: int, tables: int, seed: int = SEED) -> list[tuple[int, ...]]:
-    """``tables`` masks of ``bits`` bits drawn from all words, for distances too large for :func:`block_masks`."""
-    draw = random.Random(seed)
-    masks = []
-    for _ in range(tables):
-        own = [0] * words
-        for place in draw.sample(range(64 * words), bits):
-            own[place // 64] |= 1 << place % 64
-        masks.append(tuple(own))
-    return masks
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

@@ -382,6 +382,24 @@ def test_near_edges(empty, odd):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.drop_near(odd).collect()) == [(False, 4), (False, 5), (True, 0), (True, 0)]
 
 
+def test_near_large_bucket_of_one_template(spark):
+    """Variants of one template near the limit: most pairs are less alike than 0.8, some are not, and groups hang on those."""
+    draw = random.Random(4)
+    base = [f"t{i}" for i in range(200)]
+    texts = []
+    for n in range(400):
+        own = list(base)
+        for at in draw.sample(range(200), draw.choice((2, 3, 4))):
+            own[at] = f"v{n}x{at}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    alike = {(a, b) for a, b in combinations(range(400), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    groups = plain_groups(range(400), lambda a, b: (a, b) in alike)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert 1 < len(set(groups.values())) < 400
+    assert sorted(r.doc_id for r in near.drop_near(rows).collect()) == sorted(set(groups.values()))
+
+
 # ---- 9 tokens -----------------------------------------------------------------------------------
 
 
