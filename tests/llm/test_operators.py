@@ -382,8 +382,24 @@ def test_near_edges(empty, odd):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.drop_near(odd).collect()) == [(False, 4), (False, 5), (True, 0), (True, 0)]
 
 
-def test_near_large_bucket_of_one_template(spark):
+def test_near_blocks_of_hot_keys(spark, monkeypatch):
+    """Every two members of a key meet, whatever its size, and no block grows with it."""
+    monkeypatch.setattr(near, "HOT", 20)
+    sizes = {1: 2, 2: 20, 3: 21, 4: 150}
+    rows = spark.createDataFrame([(k, m, n) for k, m in sizes.items() for n in range(m)], "key long, m long, node long")
+    blocks, met = {}, set()
+    for r in near._blocks(rows.withColumn("was", F.col("key"))).collect():
+        blocks.setdefault((r.was, r.key), []).append(r.node)
+    for (k, _), nodes in blocks.items():
+        assert len(nodes) <= 60
+        met |= {(k, *p) for p in combinations(sorted(nodes), 2)}
+    assert met == {(k, *p) for k, m in sizes.items() for p in combinations(range(m), 2)}
+
+
+@pytest.mark.parametrize("hot", [4_000, 20])
+def test_near_large_bucket_of_one_template(spark, monkeypatch, hot):
     """Variants of one template near the limit: most pairs are less alike than 0.8, some are not, and groups hang on those."""
+    monkeypatch.setattr(near, "HOT", hot)
     draw = random.Random(4)
     base = [f"t{i}" for i in range(200)]
     texts = []
