@@ -135,6 +135,32 @@ def test_line_dedup(docs, by_id, k):
     assert removed > 20
 
 
+def test_shorter_runs_of_many_words(spark, docs, by_id):
+    """Later copies of one line of 50 words, and of two lines that have them together, go; short repeated lines stay."""
+    one, two = " ".join(f"w{i}" for i in range(50)), " ".join(f"a{i}" for i in range(30)) + "\n" + " ".join(f"b{i}" for i in range(20))
+    few = " ".join(f"c{i}" for i in range(49))
+    rows = [(1, f"begin\n{one}\nend"), (2, f"other\n{one}"), (3, one), (4, f"x\n{two}\ny"), (5, f"{two}\nz\n{few}"), (6, f"q\n{few}")]
+    got = {r.doc_id: r.text for r in lines.without_later_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "other", 4: rows[3][1], 5: f"z\n{few}", 6: rows[5][1]}
+    got = rows_of(lines.dedup_lines(docs.dropDuplicates(), 4, 20).select("row.doc_id", "kept_text"))
+    seen, short = set(), 0
+    for i in sorted(by_id):
+        parts = (by_id[i] or "").split("\n")
+        at = [n for n, x in enumerate(parts) if words(x)]
+        gone = set()
+        for p in range(len(at)):
+            for k in range(1, min(4, len(at) - p) + 1):
+                run = tuple(parts[n] for n in at[p : p + k])
+                if k == 4 or sum(len(words(x)) for x in run) >= 20:
+                    if run in seen:
+                        gone |= set(range(p, p + k))
+                        short += k < 4
+                    seen.add(run)
+        lost = {at[p] for p in gone}
+        assert got[i].kept_text == "\n".join(x for n, x in enumerate(parts) if n not in lost), i
+    assert short > 5
+
+
 def test_line_dedup_edges(docs, empty, odd):
     assert lines.without_later_lines(empty).count() == 0
     assert lines.without_later_lines(odd).count() == 5
