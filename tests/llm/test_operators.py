@@ -408,6 +408,14 @@ def test_near_edges(empty, odd):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.drop_near(odd).collect()) == [(False, 4), (False, 5), (True, 0), (True, 0)]
 
 
+def test_near_rows_of_one_doc_id(spark):
+    """Two texts under one doc_id are judged each by its own; a copy of one does not take the other."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(0, a), (1, a), (1, b), (1, b), (2, b)]
+    kept = near.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(0, a), (1, b)]
+
+
 def test_near_blocks_of_hot_keys(spark, monkeypatch):
     """Every two members of a key meet, whatever its size, and no block grows with it."""
     monkeypatch.setattr(near, "HOT", 20)
