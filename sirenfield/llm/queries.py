@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, packing, quality, secrets, simhash, sketches, suffixes, tokens
+from . import chat, counts, lines, mixing, packing, phrases, quality, secrets, simhash, sketches, suffixes, tokens
+from . import manifest as merkle
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +181,122 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = counts.count_tokens(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), budget=512)
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fits")
+
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select(
+        "doc_id", merkle.group_key(F.col("lang")).alias("g"), merkle.leaf(*map(F.col, _FIELDS)).alias("h"),
+        F.when(hit, merkle.leaf(*[changed.get(c, F.col(c)) for c in _FIELDS])).alias("tampered"),
+    )
+    found = merkle.manifest(leaves, "doc_id").withColumn("folded_root", merkle.fold(F.coalesce("tampered", "h"), F.col("steps")))
+    return found.select(
+        "doc_id", F.col("h").alias("leaf"), "subroot", "root", F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _op12_sql(levels: int = 40, root_levels: int = 16) -> str:
+    """One pair of steps per level: nodes above, and each row's path through them; groups with one node stay as they are."""
+
+    def field(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+
+    def leaf(**other: str) -> str:
+        return "sha256(" + " || ".join(field(other.get(c, c)) for c in _FIELDS) + ")"
+
+    # crc32 bit by bit over the digits
+    crc = (
+        "list_reduce([4294967295] || list_transform(range(8 * length(CAST(doc_id AS VARCHAR))), lambda i: CASE WHEN i % 8 = 0 THEN"
+        " ascii(substr(CAST(doc_id AS VARCHAR), CAST(i // 8 + 1 AS BIGINT), 1)) ELSE 0 END),"
+        " lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    )
+    steps = [
+        f"""leaves AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {leaf()} AS h,
+         CASE WHEN xor({crc}, 4294967295) % 7 = 0 THEN {leaf(n_chars="(n_chars + 1)")} ELSE {leaf()} END AS t
+  FROM documents
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM leaves
+), a0 AS MATERIALIZED (SELECT g, idx, n, h FROM placed),
+p0 AS MATERIALIZED (SELECT doc_id, g, h AS leaf, t, '' AS proof, idx, n FROM placed)"""
+    ]
+
+    def level(a: str, b: str, p: str, q: str) -> str:
+        return f"""{b} AS MATERIALIZED (
+  SELECT g, idx // 2 AS idx, (any_value(n) + 1) // 2 AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY idx)) ELSE any_value(h) END AS h
+  FROM {a} GROUP BY g, {a}.idx // 2
+), {q} AS MATERIALIZED (
+  SELECT p.* REPLACE (
+    CASE WHEN p.n = 1 THEN t WHEN p.idx % 2 = 1 THEN sha256(s.h || t) ELSE sha256(t || coalesce(s.h, '')) END AS t,
+    proof || coalesce(s.h, '') AS proof, p.idx // 2 AS idx, (p.n + 1) // 2 AS n)
+  FROM {p} p LEFT JOIN {a} s ON s.g = p.g AND s.idx = xor(p.idx, 1)
+)"""
+
+    steps += [level(f"a{i}", f"a{i + 1}", f"p{i}", f"p{i + 1}") for i in range(levels)]
+    steps.append(
+        f"""subroots AS MATERIALIZED (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM a{levels}),
+b0 AS MATERIALIZED (SELECT '' AS g, idx, n, h FROM subroots),
+q0 AS MATERIALIZED (SELECT p.doc_id, '' AS g, p.leaf, p.t, p.proof, s.idx, s.n, s.h AS subroot FROM p{levels} p JOIN subroots s USING (g))"""
+    )
+    steps += [level(f"b{i}", f"b{i + 1}", f"q{i}", f"q{i + 1}") for i in range(root_levels)]
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, t AS folded_root, t = r.h AS verified FROM q{root_levels}, b{root_levels} r
+"""
+
+
+ORACLE["op12_merkle_manifest"] = _op12_sql(24, 4)
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), windows AS (
+  SELECT lang, d, array_to_string(w[i : i + d - 1], ' ') AS phrase
+  FROM (SELECT lang, d, w, unnest(range(1, len(w) - d + 2)) AS i FROM worded, (VALUES (1), (2), (3)) v(d))
+), f AS MATERIALIZED (
+  SELECT lang, d, phrase, count(*) AS a FROM windows GROUP BY lang, d, phrase
+), totals AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE d = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+  SELECT lang, d, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE d > 1 AND a >= 10
+), cuts AS (
+  SELECT c.*, k, array_to_string(w[1 : k], ' ') AS p, array_to_string(w[k + 1 :], ' ') AS q FROM candidates c, (VALUES (1), (2)) v(k) WHERE k < d
+), scored AS (
+  SELECT c.lang, c.phrase, c.d, c.a, k, x.a AS l, y.a AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.p JOIN f y ON y.lang = c.lang AND y.phrase = c.q
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, part, max(a) AS most FROM (
+    SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS part FROM candidates WHERE d = 3
+  ) GROUP BY lang, part
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest s LEFT JOIN longer g ON g.lang = s.lang AND g.part = s.phrase WHERE g.most IS NULL OR 100 * g.most < 50 * s.a
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
