@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import stage, text_of
 
 #: bytes of text that a task sorts at once; sizes of several chunks are added up, so it sets memory and nothing else
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: bits of a filter per partition, and the largest filter (16 MB)
 BITS_EACH, MAX_BITS = 16, 1 << 27
 ROWS_OUT = 1 << 17
@@ -32,41 +32,32 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcd
 _MARK = b"."
 
 
-def quicksort(words: np.ndarray, pointers: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts suffix pointers by their first ``depth`` words; returns them with starts and sizes of the equal partitions.
+def quicksort(words: np.ndarray, pointers: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Partitions suffix pointers by their first ``depth`` words; returns one pointer of every equal partition and its size.
 
     Three-way: a partition is split by its pivot's word into less, equal and greater, and equal goes on with the next
-    word. All partitions of a round are split together, so a round is a few passes over what is not yet settled.
+    word. All partitions of a round are split together, so a round is a few passes over what is not yet settled. A
+    partition is settled when all words are equal or it holds one pointer.
     """
-    order = pointers.copy()
-    starts, sizes = np.array([0]), np.array([len(order)])
-    at = np.zeros(1, np.int64)
-    out_starts, out_sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if not len(order):
-        return order, out_starts[0], out_sizes[0]
-    while len(starts):
-        ends = np.cumsum(sizes)
-        first = ends - sizes
-        place = np.repeat(starts - first, sizes) + np.arange(ends[-1])
-        held = order[place]
+    heads, counts = [pointers[:0]], [np.zeros(0, np.int64)]
+    held, sizes = pointers, np.array([len(pointers)] if len(pointers) else [], np.int64)
+    at = np.zeros(len(sizes), pointers.dtype)
+    while len(held):
+        first = np.cumsum(sizes) - sizes
         key = words[held + np.repeat(at, sizes)]
         pivot = np.repeat(key[first + sizes // 2], sizes)
-        less, equal = key < pivot, key == pivot
-        n_less, n_equal = np.add.reduceat(less, first, dtype=np.int64), np.add.reduceat(equal, first, dtype=np.int64)
-        parts = np.stack([n_less, n_equal, sizes - n_less - n_equal], 1)
-        begin = starts[:, None] + np.cumsum(parts, 1) - parts
-        for k, side in enumerate((less, equal, ~(less | equal))):
-            # members of a side keep their order: the i-th of all goes to its part's begin plus i minus those of parts before
-            shift = begin[:, k] - (np.cumsum(parts[:, k]) - parts[:, k])
-            order[np.repeat(shift, parts[:, k]) + np.arange(parts[:, k].sum())] = held[side]
-        done = at + 1 == depth
-        out_starts.append(begin[done, 1])
-        out_sizes.append(parts[done, 1])
-        deeper = np.stack([at, at + 1, at], 1)
-        go = parts > 0
-        go[done, 1] = False
-        starts, sizes, at = begin[go], parts[go], deeper[go]
-    return order, np.concatenate(out_starts), np.concatenate(out_sizes)
+        sides = [key < pivot, key == pivot]
+        sides.append(~(sides[0] | sides[1]))
+        parts = []
+        for side, deeper in zip(sides, (0, 1, 0)):
+            n = np.add.reduceat(side, first, dtype=np.int64)
+            parts.append((held[side], n[n > 0], at[n > 0] + deeper))
+        held, sizes, at = (np.concatenate(x) for x in zip(*parts))
+        settled = (sizes == 1) | (at == depth)
+        heads.append(held[(np.cumsum(sizes) - sizes)[settled]])
+        counts.append(sizes[settled])
+        held, sizes, at = held[np.repeat(~settled, sizes)], sizes[~settled], at[~settled]
+    return np.concatenate(heads), np.concatenate(counts)
 
 
 def _turn(h, i: int):
@@ -165,9 +156,7 @@ def _partitions(lang: str, own: bytes, ahead: bytes, depth: int, known: Filter |
             left = known.holds(names)
         for i in range(2) if span > 1 else range(depth):
             alive &= left[i : n + i]
-        pointers = np.flatnonzero(alive[:n_own])
-        order, starts, sizes = quicksort(words, pointers, depth)
-        heads = order[starts]
+        heads, sizes = quicksort(words, np.flatnonzero(alive[:n_own]).astype(np.int32), depth)
         named = pa.array(vocabulary, pa.binary()).cast(pa.string())
         phrases = pc.binary_join_element_wise(*[named.take(pa.array(words[heads + i])) for i in range(depth)], " ")
     for at in range(0, len(sizes), ROWS_OUT):
