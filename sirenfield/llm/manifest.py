@@ -49,9 +49,10 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     )
     counts = placed.groupBy("g", "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     by_range = Window.partitionBy("g").orderBy("_range")
-    starts = counts.select(
+    # written, so that Spark knows how few they are and need not move the rows to them
+    starts = stage(counts.select(
         "g", "_range", "_first", (F.sum("_n").over(by_range) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("g")).alias("n")
-    )
+    ), "starts")
     return placed.join(starts, ["g", "_range"]).withColumn("idx", F.col("_before") + F.col("_at") - F.col("_first")).drop(
         "_at", "_range", "_n", "_first", "_before"
     )
