@@ -251,9 +251,11 @@ def collocations(
         F.col("longer").isNull() | (F.lit(100) * F.col("longer") < F.lit(covered_percent) * F.col("a"))
     ).select("lang", "phrase", "a", "cut.parts.l", "cut.parts.r", "cut.score")
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # the first of every share of a lang, then the first of those: no task sees more than its share of the candidates
-    shares = F.pmod(F.xxhash64("phrase"), F.lit(max(1, kept.sparkSession.sparkContext.defaultParallelism * 4)))
-    near = kept.withColumn("share", shares).withColumn("i", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*best))).where(F.col("i") <= top)
+    # the first of every share of a lang, of every 256 shares, then of those: a task sees its share or 16 x top rows
+    near = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(4096)))
+    for shares in (4096, 16):
+        first = Window.partitionBy("lang", "share").orderBy(*best)
+        near = near.withColumn("share", F.col("share") % shares).withColumn("i", F.row_number().over(first)).where(F.col("i") <= top)
     n = found[0].where(F.col("phrase") == "").select("lang", F.col("a").alias("n"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
