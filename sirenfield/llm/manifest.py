@@ -129,5 +129,6 @@ def manifest(rows: DataFrame, order: str, fanout: int = 2, block: int = BLOCK) -
     subroots = found.groupBy("g").agg(F.first("top").alias("h")).withColumnRenamed("g", "group").withColumn("g", F.lit(""))
     placed_roots = stage(numbered(subroots, "group"), "subroots")
     above = climb(placed_roots.select("g", "idx", "n", "h"), fanout, block).select("idx", F.col("steps").alias("more"), F.col("top").alias("root"))
-    roots = placed_roots.select("group", "idx").join(above, "idx").select(F.col("group").alias("g"), "more", "root")
+    # written as well: a row per group, which must not move the leaves by their group
+    roots = stage(placed_roots.select("group", "idx").join(above, "idx").select(F.col("group").alias("g"), "more", "root"), "roots")
     return placed.join(found, ["g", "idx"]).join(roots, "g").withColumn("steps", F.concat("steps", "more")).withColumnRenamed("top", "subroot").drop("more", "n")
