@@ -110,7 +110,7 @@ class Inputs:
 
     @cached_property
     def weather_raw(self) -> DataFrame:
-        """Hourly weather from the readings of an hour; every thirteenth hour of the year is missing."""
+        """Hourly weather from the readings of an hour."""
         return (
             self.readings.withColumn("date_hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
             .groupBy("date_hour")
@@ -120,7 +120,6 @@ class Inputs:
                 (F.max("k") - F.min("k")).cast("double").alias("windspeed_10m"),
                 F.max("k").alias("weathercode"),
             )
-            .filter((F.dayofyear("date_hour") * 24 + F.hour("date_hour")) % 13 != 0)
             .withColumn("location", F.lit("city"))
         )
 
@@ -207,6 +206,12 @@ class Inputs:
     def training(self) -> DataFrame:
         return self._stage("training", lambda: model.training_frame(self.bins, self.baselines, self.stats))
 
+    @cached_property
+    def training_by_date(self) -> DataFrame:
+        """Training frame of the grain that the baselines have, a zone's hour of a date, without a row's own date."""
+        bins = aggregate.zone_bins(self.enriched, "incident_date")
+        return self._stage("training_by_date", lambda: model.leave_own_date_out(model.training_frame(bins, self.baselines, self.stats)))
+
     @cached_property
     def fitted(self):
         """The demand model, trained and saved once per session and folder."""
@@ -215,7 +220,7 @@ class Inputs:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, "model")
         if key not in _STAGED:
             path = f"{shared_dir(self.spark)}/model"
-            model.train(self.training).save(path)
+            model.train(self.training_by_date).save(path)
             _STAGED[key] = path
         return GBTRegressionModel.load(_STAGED[key])
 
@@ -308,9 +313,7 @@ class Inputs:
         return place.borough_placement(self.forecast, self.units, "scenario_id")
 
     def zone_results(self, points: DataFrame) -> DataFrame:
-        return impact.zone_whatif(
-            self.forecast, self.scenarios, self.stats, points, self.zone_matrix, "scenario_id"
-        )
+        return impact.zone_whatif(self.forecast, self.stats, points, self.zone_matrix, "scenario_id")
 
     @cached_property
     def zone_whatif(self) -> DataFrame:

@@ -265,10 +265,21 @@ def response_histogram(t):
 
 @query(
     "a23_response_sample",
-    f"""SELECT scenario_id, zone, copy, CAST(round_even(static_time, 0) AS INT) AS static_sec, CAST(round_even(staged_time, 0) AS INT) AS staged_sec
-        FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY md5(tag), tag) AS rn
-              FROM (SELECT *, zone || '#' || CAST(copy AS VARCHAR) AS tag FROM (SELECT *, CAST(unnest(range(1, {COPIES} + 1)) AS INT) AS copy FROM x_zone_whatif)))
-        WHERE rn <= 50""",
+    f"""WITH x_calls AS (
+          SELECT scenario_id, zone, static_time, staged_time, sum({COPIES}) OVER (PARTITION BY scenario_id ORDER BY zone) AS last,
+                 {COPIES} AS c, CAST(sum({COPIES}) OVER (PARTITION BY scenario_id) AS BIGINT) AS n FROM x_zone_whatif
+        ), x_edges AS (
+          SELECT scenario_id, n, i, floor(n * i / 50.0::DOUBLE) AS lo, floor(n * (i + 1) / 50.0::DOUBLE) AS hi
+          FROM (SELECT DISTINCT scenario_id, n FROM x_calls) CROSS JOIN (SELECT unnest(range(50)) AS i)
+        ), x_picks AS (
+          SELECT scenario_id, unnest(range(1, n + 1)) AS call FROM x_edges WHERE i = 0 AND n <= 50
+          UNION ALL
+          SELECT scenario_id, lo + CAST('0x' || substr(md5(scenario_id || '#' || CAST(i AS VARCHAR)), 1, 15) AS BIGINT) % CAST(greatest(hi - lo, 1) AS BIGINT) + 1
+          FROM x_edges WHERE n > 50
+        )
+        SELECT p.scenario_id, zone, CAST(call - (last - c) AS INT) AS copy, CAST(round_even(static_time, 0) AS INT) AS static_sec,
+               CAST(round_even(staged_time, 0) AS INT) AS staged_sec
+        FROM x_picks p JOIN x_calls z ON z.scenario_id = p.scenario_id AND call > last - c AND call <= last""",
 )
 def response_sample(t):
     return impact.response_sample(t.zone_whatif, "scenario_id")

@@ -240,16 +240,14 @@ def weather_preset(t):
         FROM (SELECT f.scenario_id, f.zone, f.borough, coalesce(w.static_time, s.avg_response_seconds) AS before,
                      CASE WHEN w.staged_time IS NULL THEN greatest(0, s.avg_response_seconds - b.median_saved_sec) ELSE w.staged_time END AS after
               FROM x_forecast f JOIN x_stats s ON s.INCIDENT_DISPATCH_AREA = f.zone
-              LEFT JOIN (SELECT scenario_id, zone, round(static_time, 1) AS static_time, round(staged_time, 1) AS staged_time FROM x_zone_whatif WHERE seconds_saved > 0) w
+              LEFT JOIN (SELECT scenario_id, zone, round(static_time, 1) AS static_time, round(staged_time, 1) AS staged_time FROM x_zone_whatif) w
                 ON w.scenario_id = f.scenario_id AND w.zone = f.zone
               LEFT JOIN x_impact_borough b ON b.scenario_id = f.scenario_id AND b.name = f.borough)""",
 )
 def zone_before_after(t):
-    """Zones whose own result shows no saving are treated as lacking a result,
-    so that the borough fallback occurs."""
     avg = t.stats.select(F.col("INCIDENT_DISPATCH_AREA").alias("zone"), "avg_response_seconds")
     zones = t.forecast.select("scenario_id", "zone", "borough").join(F.broadcast(avg), "zone")
-    own = impact.zone_results(t.zone_whatif.filter("seconds_saved > 0"), "scenario_id")
+    own = impact.zone_results(t.zone_whatif, "scenario_id")
     borough = impact.grouped_impact(t.zone_whatif, "scenario_id").filter("scope = 'borough'").select(
         "scenario_id", F.col("name").alias("borough"), "median_saved_sec"
     )

@@ -213,10 +213,10 @@ def zip_zone_svi(t):
 @query(
     "j19_centroid_weights",
     """SELECT z.zone, z.lon, z.lat, coalesce(n, 0)::DOUBLE AS weight FROM x_zones z
-       LEFT JOIN (SELECT INCIDENT_DISPATCH_AREA, sum(is_held)::DOUBLE AS n FROM x_clean WHERE BOROUGH <> 'QUEENS' GROUP BY ALL) c ON c.INCIDENT_DISPATCH_AREA = z.zone""",
+       LEFT JOIN (SELECT INCIDENT_DISPATCH_AREA, sum(is_held)::DOUBLE AS n FROM x_clean GROUP BY ALL) c ON c.INCIDENT_DISPATCH_AREA = z.zone""",
 )
 def centroid_weights(t):
-    held = t.cleaned.filter("BOROUGH <> 'QUEENS'").groupBy(F.col("INCIDENT_DISPATCH_AREA").alias("zone")).agg(
+    held = t.cleaned.groupBy(F.col("INCIDENT_DISPATCH_AREA").alias("zone")).agg(
         F.sum("is_held").cast("double").alias("n")
     )
     return travel.centroid_weights(held, "n")
@@ -224,11 +224,11 @@ def centroid_weights(t):
 
 @query(
     "j20_bin_join",
-    """SELECT CAD_INCIDENT_ID, a.hour, a.dayofweek, svi_quartile FROM x_acute a JOIN (SELECT DISTINCT hour, dow AS dayofweek FROM x_valid WHERE ambulances = 5) USING (hour, dayofweek)""",
+    """SELECT CAD_INCIDENT_ID, a.hour, a.dayofweek, svi_quartile FROM x_acute a JOIN (SELECT DISTINCT hour, dow AS dayofweek FROM x_valid) USING (hour, dayofweek)""",
 )
 def bin_join(t):
-    """Facts of the (hour, weekday) bins somebody asked for with five units."""
-    asked = scenarios.valid_requests(t.requests).filter("ambulances = 5")
+    """Facts of the (hour, weekday) bins somebody asked for."""
+    asked = scenarios.valid_requests(t.requests)
     bins = asked.select("hour", F.col("dow").alias("dayofweek")).distinct()
     return impact.bin_facts(t.acute, bins).select(ID, "hour", "dayofweek", "svi_quartile")
 
@@ -265,11 +265,14 @@ def distinct_event_days(t):
 
 @query(
     "u04_missing_zones",
-    """SELECT zone AS INCIDENT_DISPATCH_AREA FROM x_zones EXCEPT SELECT INCIDENT_DISPATCH_AREA FROM x_clean WHERE is_held = 1 AND hour = 3 AND split = 'test'""",
+    """SELECT zone AS INCIDENT_DISPATCH_AREA, CAST(g // 7 AS INT) AS hour, CAST(g % 7 AS INT) AS dayofweek FROM x_zones CROSS JOIN (SELECT unnest(range(168)) AS g)
+       EXCEPT SELECT INCIDENT_DISPATCH_AREA, hour, dayofweek FROM x_clean""",
 )
 def missing_zones(t):
-    found = t.cleaned.filter("is_held = 1 AND hour = 3 AND split = 'test'")
-    return quality.missing_keys(quality.zone_keys(t.spark, "INCIDENT_DISPATCH_AREA"), found, "INCIDENT_DISPATCH_AREA")
+    """Hours of the week in which a zone never had an incident."""
+    bins = scenarios.hour_bins(t.spark)
+    expected = quality.zone_keys(t.spark, "INCIDENT_DISPATCH_AREA").join(F.broadcast(bins), F.lit(True))
+    return quality.missing_keys(expected, t.cleaned, "INCIDENT_DISPATCH_AREA", "hour", "dayofweek")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import dimensions as dim
 from ..functions.weather import severe_by_rain
 from ..operators import graph, impact, model, place, quality, scenarios, travel
+from ..plans.pipeline import BASELINE_COLUMNS, STATS_COLUMNS, SUMMARY_COLUMNS
 from . import query
 
 KEY = "scenario_id"
@@ -18,9 +19,9 @@ def _model(t):
 
 @query("m01_boosted_trees")
 def boosted_trees(t):
-    """Holdout error of the trained model next to the baseline-only error."""
+    """Holdout error of the trained model next to the baseline-only error, by date and hour."""
     fitted = _model(t)
-    test = t.training.filter("split = 'test'")
+    test = t.training_by_date.filter("split = 'test'")
     trained = model.forecast_error(model.score(fitted, test)).withColumn("model", F.lit("boosted trees"))
     bare = model.forecast_error(model.baseline_only(test)).withColumn("model", F.lit("baseline only"))
     return trained.unionByName(bare)
@@ -101,11 +102,22 @@ def least_costs(t):
     return graph.least_costs(edges, origins).withColumn("cost", F.round("cost", 4))
 
 
-@query("m08_road_matrix")
+@query(
+    "m08_road_matrix",
+    f"""WITH RECURSIVE e AS MATERIALIZED ({_EDGES}), r(dest, node, cost, hops) AS (
+          SELECT zone, CAST(zone_ord AS BIGINT), 0.0::DOUBLE, 0 FROM x_zones
+          UNION ALL
+          SELECT dest, node, cost, hops FROM (
+            SELECT r.dest, e.src AS node, min(r.cost + e.cost) AS cost, any_value(r.hops) + 1 AS hops FROM r JOIN e ON e.dst = r.node WHERE r.hops < 31 GROUP BY r.dest, e.src)),
+        c AS MATERIALIZED (SELECT dest, node, min(cost) AS cost FROM r GROUP BY dest, node),
+        o AS (SELECT zone AS origin, CAST(zone_ord AS BIGINT) AS node FROM x_zones
+              UNION ALL SELECT station_id, CAST(zone_ord AS BIGINT) FROM x_stations JOIN x_zones ON zone = dispatch_zone)
+        SELECT origin, z.zone AS dest, coalesce(CAST(trunc(cost) AS INT), 9999) AS seconds
+        FROM o CROSS JOIN x_zones z LEFT JOIN c ON c.node = o.node AND c.dest = z.zone""",
+)
 def road_matrix(t):
-    """Zones and stations on the road graph: 9999 where unreachable, great-circle
-    estimate for stations whose zone has no node (Staten Island here)."""
-    z = dim.zones(t.spark).filter("borough not like '%STATEN%'")
+    """Zones and stations on the road graph of all trips; 9999 where unreachable."""
+    z = dim.zones(t.spark)
     zone_nodes = z.select("zone", F.col("zone_ord").cast("long").alias("node"))
     s = t.stations.join(F.broadcast(zone_nodes), F.col("dispatch_zone") == F.col("zone"))
     station_nodes = s.select(F.col("station_id").alias("origin"), "node")
@@ -179,15 +191,6 @@ def scenario_comparison(t):
 
 # ---- data quality -------------------------------------------------------------
 
-BASELINE_COLUMNS = ["INCIDENT_DISPATCH_AREA", "hour", "dayofweek", "zone_baseline_avg"]
-STATS_COLUMNS = [
-    "INCIDENT_DISPATCH_AREA", "BOROUGH", "svi_score", "avg_response_seconds", "avg_travel_seconds",
-    "avg_dispatch_seconds", "high_acuity_ratio", "held_ratio", "total_incidents",
-]
-SUMMARY_COLUMNS = [
-    "hour", "dayofweek", "median_seconds_saved", "pct_within_8min_static", "pct_within_8min_staged", "n_incidents",
-]
-
 
 @query(
     "q01_required_columns",

@@ -196,19 +196,17 @@ def station_features(t):
 
 @query(
     "s12_keyed_upsert",
-    """SELECT z.zone, CASE WHEN s.n IS NULL THEN z.borough ELSE s.b END AS borough, coalesce(s.svi, z.svi_score) AS svi_score, coalesce(s.n, 0) AS incidents
-       FROM (SELECT * FROM x_zones WHERE borough <> 'QUEENS') z
-       FULL JOIN (SELECT INCIDENT_DISPATCH_AREA AS zone, BOROUGH AS b, round(svi_score, 4) AS svi, total_incidents AS n FROM x_stats
-                  WHERE BOROUGH <> 'BRONX') s ON s.zone = z.zone WHERE z.zone IS NOT NULL
-       UNION ALL SELECT INCIDENT_DISPATCH_AREA, BOROUGH, round(svi_score, 4), total_incidents FROM x_stats WHERE BOROUGH = 'QUEENS'""",
+    """SELECT coalesce(s.zone, z.zone) AS zone, CASE WHEN s.n IS NULL THEN z.borough ELSE s.b END AS borough, coalesce(s.svi, z.svi_score) AS svi_score,
+              coalesce(s.n, 0) AS incidents
+       FROM x_zones z
+       FULL JOIN (SELECT INCIDENT_DISPATCH_AREA AS zone, BOROUGH AS b, round(svi_score, 4) AS svi, total_incidents AS n FROM x_stats) s ON s.zone = z.zone""",
 )
 def keyed_upsert(t):
-    """Boundary dimension without Queens, updated by statistics of all but the
-    Bronx: updates, inserts and untouched rows all occur."""
-    current = dim.zones(t.spark).filter("borough <> 'QUEENS'").select(
+    """Boundary dimension updated by the statistics of the zones."""
+    current = dim.zones(t.spark).select(
         "zone", "borough", "svi_score", F.lit(0).cast("long").alias("incidents")
     )
-    changes = t.stats.filter("BOROUGH <> 'BRONX'").select(
+    changes = t.stats.select(
         F.col("INCIDENT_DISPATCH_AREA").alias("zone"), F.col("BOROUGH").alias("borough"),
         F.round("svi_score", 4).alias("svi_score"), F.col("total_incidents").alias("incidents"),
     )

@@ -139,14 +139,14 @@ FROM orders JOIN x_zones z ON z.zone_ord = o_custkey % 31"""
 CTES["x_weather_raw"] = """
 SELECT date_trunc('hour', ts) AS date_hour, max(value) * 0.2 - 10 AS temperature_2m, min(value) AS precipitation,
        CAST(max(k) - min(k) AS DOUBLE) AS windspeed_10m, max(k) AS weathercode
-FROM x_readings WHERE (dayofyear(ts) * 24 + hour(ts)) % 13 <> 0 GROUP BY 1"""
+FROM x_readings GROUP BY 1"""
 
 CTES["x_weather"] = f"""
 SELECT *, CASE WHEN weathercode IN {CODES} THEN 1 ELSE 0 END AS is_severe_weather,
        CASE WHEN temperature_2m >= 35 THEN 1 ELSE 0 END AS is_extreme_heat,
        CASE WHEN temperature_2m >= 35 OR max(temperature_2m) OVER (ORDER BY date_hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) >= 32.2
             THEN 1 ELSE 0 END AS is_heat_emergency
-FROM x_weather_raw"""""
+FROM x_weather_raw"""
 
 CTES["x_holidays"] = f"""
 SELECT DISTINCT CAST(d AS DATE) AS holiday_date, 1 AS is_holiday

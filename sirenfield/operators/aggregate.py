@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dimensions as dim
 from ..functions.calendar import with_cyclical
+from .quantiles import with_quantiles
 
 ZONE = "INCIDENT_DISPATCH_AREA"
 BIN_KEYS = [ZONE, "BOROUGH", "year", "month", "dayofweek", "hour", "is_weekend", "split"]
@@ -33,8 +34,8 @@ def zone_bins(facts: DataFrame, *extra_keys: str) -> DataFrame:
     """Zone aggregate over (year, month, weekday, hour), train and test rows.
 
     Without extra keys a bin sums all same-weekday dates of its month; pass
-    ``incident_date`` for a true per-date-hour grain. The median's buffer
-    holds distinct response times, which the quality filter bounds to 1..7200.
+    ``incident_date`` for a true per-date-hour grain. The median comes from
+    counts per response time; both parts end hashed by the keys and meet there.
     """
     keys = [*BIN_KEYS, *extra_keys]
     avg_rounded = {
@@ -43,9 +44,9 @@ def zone_bins(facts: DataFrame, *extra_keys: str) -> DataFrame:
     flags = [
         "is_severe_weather", "is_extreme_heat", "is_heat_emergency", "is_holiday", "is_school_day", "is_major_event",
     ]
+    kept = facts.filter(F.col("split").isin("train", "test"))
     grouped = (
-        facts.filter(F.col("split").isin("train", "test"))
-        .groupBy(*keys)
+        kept.groupBy(*keys)
         .agg(
             *[F.round(F.avg(c), d).alias(c) for c, d in avg_rounded.items()],
             *[F.max(c).alias(c) for c in flags],
@@ -55,10 +56,10 @@ def zone_bins(facts: DataFrame, *extra_keys: str) -> DataFrame:
             F.avg("DISPATCH_RESPONSE_SECONDS_QY").alias("avg_dispatch_seconds"),
             F.sum("is_high_acuity").alias("high_acuity_count"),
             F.sum("is_held").alias("held_count"),
-            F.median("INCIDENT_RESPONSE_SECONDS_QY").alias("median_response_seconds"),
         )
     )
-    return with_cyclical(grouped)
+    median = {"median_response_seconds": 0.5}
+    return with_cyclical(with_quantiles(grouped, kept, keys, "INCIDENT_RESPONSE_SECONDS_QY", median))
 
 
 def daily_counts(facts: DataFrame) -> DataFrame:
@@ -178,16 +179,12 @@ def hourly_profile(stats: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 def column_summary(df: DataFrame, column: str) -> DataFrame:
-    """count, mean, sample deviation, exact quartiles and range of a count column.
-
-    The quantile buffer is keyed by distinct value, small for counts.
-    """
-    return df.agg(
+    """count, mean, sample deviation, exact quartiles and range of a count column."""
+    moments = df.agg(
         F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
-        F.min(column).alias("min"),
-        *[F.percentile(column, p).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)],
-        F.max(column).alias("max"),
+        F.min(column).alias("min"), F.max(column).alias("max"),
     )
+    return with_quantiles(moments, df, [], column, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
 
 
 def top_zones(facts: DataFrame, k: int = 10) -> DataFrame:

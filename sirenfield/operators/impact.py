@@ -9,8 +9,9 @@ from .. import dimensions as dim
 from ..functions import response as rs
 from ..functions.weather import travel_factor
 from .aggregate import ZONE
+from .quantiles import quantiles, with_quantiles
 from .scenarios import hour_bins
-from .travel import staged_drive
+from .travel import legs_into, staged_seconds, zones_close_by
 
 BIN = ["hour", "dayofweek"]
 
@@ -18,20 +19,11 @@ BIN = ["hour", "dayofweek"]
 # ---- bands and sampling -----------------------------------------------------
 
 def quantile_band(df: DataFrame, column: str, label: str = "svi_quartile") -> DataFrame:
-    """Q1..Q4 by exact interpolated quartile edges, right-closed.
-
-    The edges are one row; the quantile buffer is keyed by distinct values (31
-    zone scores at most for vulnerability).
-    """
-    edges = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("edges"))
+    """Q1..Q4 by exact interpolated quartile edges, right-closed. The edges are one row."""
+    edges = quantiles(df, [], column, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
     v = F.col(column)
-    band = (
-        F.when(v <= F.col("edges")[0], "Q1")
-        .when(v <= F.col("edges")[1], "Q2")
-        .when(v <= F.col("edges")[2], "Q3")
-        .when(v.isNotNull(), "Q4")
-    )
-    return df.join(F.broadcast(edges), F.lit(True), "left").withColumn(label, band).drop("edges")
+    band = F.when(v <= F.col("_q1"), "Q1").when(v <= F.col("_q2"), "Q2").when(v <= F.col("_q3"), "Q3").when(v.isNotNull(), "Q4")
+    return df.join(F.broadcast(edges), F.lit(True), "left").withColumn(label, band).drop("_q1", "_q2", "_q3")
 
 
 def capped_sample(df: DataFrame, keys: list[str], id_column: str, cap: int, at_least: int = 0) -> DataFrame:
@@ -54,20 +46,22 @@ def acute_test_facts(facts: DataFrame) -> DataFrame:
 
 
 def bin_facts(facts: DataFrame, bins: DataFrame) -> DataFrame:
-    """Facts of the wanted (hour, weekday) bins."""
-    return facts.join(F.broadcast(bins.select(*BIN)), BIN)
+    """Facts of the wanted (hour, weekday) bins: at most 168 distinct ones, which bounds the broadcast."""
+    wanted = bins.filter(F.col("hour").between(0, 23) & F.col("dayofweek").between(0, 6)).select(*BIN).distinct()
+    return facts.join(F.broadcast(wanted), BIN)
 
 
 def fact_whatif(facts: DataFrame, staged: DataFrame, fixed: DataFrame, observed: bool = True) -> DataFrame:
     """Before and after of each fact.
 
     ``staged``: hour, dayofweek, zone, seconds (best staged origin; 168 x 31
-    rows). ``fixed``: dest, seconds (best fixed station; 31 rows). Before is the
+    rows at most are kept). ``fixed``: dest, seconds (best fixed station; 31 rows). Before is the
     observed time, or with ``observed=False`` always the fixed station. Both
     lookups are broadcast, so facts stay where they were read.
     """
-    s = staged.select(*BIN, F.col("zone").alias(ZONE), F.col("seconds").alias("staged_sec"))
-    f = fixed.select(F.col("dest").alias(ZONE), F.col("seconds").alias("fixed_sec"))
+    known = staged.filter(F.col("zone").isin(dim.ZONE_CODES) & F.col("hour").between(0, 23) & F.col("dayofweek").between(0, 6))
+    s = known.groupBy(*BIN, F.col("zone").alias(ZONE)).agg(F.min("seconds").alias("staged_sec"))
+    f = fixed.filter(F.col("dest").isin(dim.ZONE_CODES)).groupBy(F.col("dest").alias(ZONE)).agg(F.min("seconds").alias("fixed_sec"))
     df = facts.join(F.broadcast(s), [*BIN, ZONE], "left").join(F.broadcast(f), ZONE, "left")
     missing = F.lit(dim.UNREACHABLE_SECONDS)
     fallback = F.coalesce("fixed_sec", missing)
@@ -94,12 +88,14 @@ def _shares() -> list[Column]:
     ]
 
 
+def _breakdown(whatif: DataFrame, keys: list[str], median: str) -> DataFrame:
+    grouped = whatif.groupBy(*keys).agg(*_shares(), F.count("*").alias("n_incidents"))
+    return with_quantiles(grouped, whatif, keys, "seconds_saved", {median: 0.5})
+
+
 def bin_summary(whatif: DataFrame) -> DataFrame:
-    """Per (hour, weekday): median saved, shares within the threshold, n.
-    Saved seconds are whole numbers, so the exact median's buffer stays small."""
-    return whatif.groupBy(*BIN).agg(
-        F.median("seconds_saved").alias("median_seconds_saved"), *_shares(), F.count("*").alias("n_incidents")
-    )
+    """Per (hour, weekday): median saved, shares within the threshold, n."""
+    return _breakdown(whatif, BIN, "median_seconds_saved")
 
 
 def dense_bins(summary: DataFrame) -> DataFrame:
@@ -113,50 +109,51 @@ def dense_bins(summary: DataFrame) -> DataFrame:
 
 def group_breakdown(whatif: DataFrame, group: str, by_bin: bool = False) -> DataFrame:
     """Shares and median saved by borough or band, overall or within each bin."""
-    keys = [*(BIN if by_bin else []), group]
-    return whatif.groupBy(*keys).agg(
-        *_shares(), F.median("seconds_saved").alias("median_saved_sec"), F.count("*").alias("n_incidents")
-    )
+    return _breakdown(whatif, [*(BIN if by_bin else []), group], "median_saved_sec")
 
 
 def headline(summary: DataFrame) -> DataFrame:
     """Mean of bin shares, median of bin medians, gain in points."""
-    return summary.filter(F.col("median_seconds_saved").isNotNull()).agg(
+    filled = summary.filter(F.col("median_seconds_saved").isNotNull())
+    means = filled.agg(
         F.avg("pct_within_8min_static").alias("overall_static"),
         F.avg("pct_within_8min_staged").alias("overall_staged"),
         (F.avg("pct_within_8min_staged") - F.avg("pct_within_8min_static")).alias("gain_points"),
-        F.median("median_seconds_saved").alias("median_saved"),
     )
+    return with_quantiles(means, filled, [], "median_seconds_saved", {"median_saved": 0.5})
 
 
 # ---- what-if per zone and scenario -----------------------------------------
 
-def zone_whatif(
-    forecast: DataFrame, scenarios: DataFrame, stats: DataFrame, points: DataFrame, matrix: DataFrame, key: str
-) -> DataFrame:
+def zone_whatif(forecast: DataFrame, stats: DataFrame, points: DataFrame, matrix: DataFrame, key: str) -> DataFrame:
     """Before and after per scenario and zone.
 
     Weather slows the travel part; dispatch stays. The staged travel has a floor
-    of 120 s and the result is never worse than before.
+    of 120 s and the result is never worse than before. Zones meet their scenario's
+    points by ``key`` alone: tables bucketed by it need no exchange here.
     """
     s = stats.filter(F.col(ZONE).isin(dim.ZONE_CODES)).select(
         F.col(ZONE).alias("zone"), F.col("avg_dispatch_seconds").alias("s_dispatch"),
         F.col("avg_travel_seconds").alias("s_travel"),
     )
     z = dim.zones(forecast.sparkSession).select(
-        "zone", rs.dispatch_default(F.col("response_default")).alias("d_dispatch"), "response_default"
+        "zone", rs.dispatch_default(F.col("response_default")).alias("d_dispatch"), "response_default",
+        F.col("lon").alias("z_lon"), F.col("lat").alias("z_lat"),
     )
     df = forecast.withColumn("factor", travel_factor(F.col("precipitation"), F.col("windspeed")))
-    factors = scenarios.select(key, travel_factor(F.col("precipitation"), F.col("windspeed")).alias("factor"))
-    drives = staged_drive(points.select(key, "lon", "lat").join(factors, key), matrix, [key], "factor")
+    placed = points.groupBy(key).agg(F.collect_list(F.struct("lon", "lat", zones_close_by(F.col("lon"), F.col("lat")).alias("near"))).alias("placed"))
     df = (
         df.join(F.broadcast(s), "zone", "left")
         .join(F.broadcast(z), "zone", "left")
-        .join(drives, [key, "zone"], "left")
+        .join(F.broadcast(legs_into(matrix)), "zone", "left")
+        .join(placed, key, "left")
     )
     dispatch = F.coalesce("s_dispatch", F.col("d_dispatch").cast("double"))
     travel = F.coalesce("s_travel", (F.col("response_default") - F.col("d_dispatch")).cast("double")) * F.col("factor")
-    df = df.withColumns({"dispatch": dispatch, "static_time": dispatch + travel})
+    df = df.withColumns({"dispatch": dispatch, "static_time": dispatch + travel}).withColumn("p", F.explode_outer("placed"))
+    drive = staged_seconds(F.col("p"), F.col("z_lon"), F.col("z_lat"), F.col("legs"), F.col("factor"))
+    kept = [key, "zone", "zone_ord", "borough", "svi_score", "predicted", "dispatch", "static_time"]
+    df = df.select(*kept, drive.alias("drive")).groupBy(*kept).agg(F.min("drive").alias("best_drive"))
     staged_travel = F.coalesce(
         F.greatest("best_drive", F.lit(float(dim.TRAVEL_FLOOR_SECONDS))), F.col("static_time") - F.col("dispatch")
     )
@@ -167,60 +164,75 @@ def zone_whatif(
     )
 
 
-def _weighted(share: str) -> Column:
-    total = F.sum("demand")
-    return F.sum(F.col("demand") * F.col(share)) / F.when(total < 0.01, 1.0).otherwise(total) * 100
+BANDS = ("Q1", "Q2", "Q3", "Q4")
 
 
-def _with_scores(zone_rows: DataFrame) -> DataFrame:
-    return zone_rows.withColumns({
-        "static_share": rs.share_within(F.col("static_time")),
-        "staged_share": rs.share_within(F.col("staged_time")),
-        "copies": rs.repeat_weight(F.col("demand")),
-        "svi_quartile": rs.svi_band(F.col("svi_score")),
-    })
+def _zone_array() -> Column:
+    """A scenario's zones (at most 31) in order of seconds saved, with what the measures need (grouped aggregate)."""
+    return F.array_sort(F.collect_list(F.struct(
+        F.col("seconds_saved").alias("saved"), rs.repeat_weight(F.col("demand")).cast("long").alias("copies"), F.col("demand").alias("demand"),
+        rs.share_within(F.col("static_time")).alias("static"), rs.share_within(F.col("staged_time")).alias("staged"),
+        F.col("borough").alias("borough"), rs.svi_band(F.col("svi_score")).alias("band"),
+    )))
 
 
-def _metrics() -> list[Column]:
-    return [
-        _weighted("static_share").alias("pct_static"),
-        _weighted("staged_share").alias("pct_staged"),
-        F.percentile("seconds_saved", F.lit(0.5), F.col("copies")).alias("median_saved"),
-    ]
+def _measures(zones: Column) -> dict[str, Column]:
+    """Demand-weighted shares and the median in which a zone counts once per expected call, of an ordered zone array."""
+
+    def total(of) -> Column:
+        return F.aggregate(zones, F.lit(0.0), lambda acc, z: acc + of(z))
+
+    demand = total(lambda z: z["demand"])
+    scale = F.when(demand < 0.01, 1.0).otherwise(demand)
+    copies = F.aggregate(zones, F.lit(0).cast("long"), lambda acc, z: acc + z["copies"])
+    nothing = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).cast("long").alias("n"), nothing.alias("low"), nothing.alias("high"))
+
+    def step(acc: Column, z: Column) -> Column:
+        # the calls of the middle are number floor((n + 1) / 2) and floor(n / 2) + 1, counted from 1
+        upto = acc["n"] + z["copies"]
+        low = F.when(acc["low"].isNull() & (upto * 2 >= copies), z["saved"]).otherwise(acc["low"])
+        high = F.when(acc["high"].isNull() & (upto * 2 > copies), z["saved"]).otherwise(acc["high"])
+        return F.struct(upto.alias("n"), low.alias("low"), high.alias("high"))
+
+    median = F.aggregate(zones, start, step, lambda acc: (acc["low"] + acc["high"]) / 2)
+    return {
+        "pct_static": total(lambda z: z["demand"] * z["static"]) / scale * 100,
+        "pct_staged": total(lambda z: z["demand"] * z["staged"]) / scale * 100,
+        "median_saved": median,
+    }
 
 
 def scenario_impact(zone_rows: DataFrame, key: str) -> DataFrame:
     """Demand-weighted shares and median per scenario (31 rows each)."""
-    return _with_scores(zone_rows).groupBy(key).agg(*_metrics())
+    rows = zone_rows.groupBy(key).agg(_zone_array().alias("zones"))
+    return rows.select(key, *[c.alias(n) for n, c in _measures(F.col("zones")).items()])
 
 
 def grouped_impact(zone_rows: DataFrame, key: str) -> DataFrame:
-    """Overall, per borough and per band in one pass over the zone rows.
+    """Overall, per borough and per band: one exchange makes a scenario a row, its groups are parts of the row's array.
 
     Bands without any zone read 0.0; boroughs without zones do not appear.
     """
-    df = _with_scores(zone_rows)
-    sets = df.groupingSets([[key], [key, "borough"], [key, "svi_quartile"]], key, "borough", "svi_quartile").agg(
-        *_metrics(), F.grouping_id().alias("gid")
+    rows = zone_rows.groupBy(key).agg(_zone_array().alias("zones"))
+
+    def part(scope: str, name: str, field: str) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), F.lit(name).alias("name"), F.filter("zones", lambda z: z[field] == name).alias("part"))
+
+    parts = F.array(
+        F.struct(F.lit("overall").alias("scope"), F.lit("all").alias("name"), F.col("zones").alias("part")),
+        *[part("borough", b, "borough") for b in dim.BOROUGH_NAMES],
+        *[part("svi_quartile", q, "band") for q in BANDS],
     )
-    out = sets.select(
-        key,
-        F.when(F.col("gid") == 3, "overall").when(F.col("gid") == 1, "borough").otherwise("svi_quartile").alias("scope"),
-        F.coalesce("borough", "svi_quartile", F.lit("all")).alias("name"),
-        F.round("pct_static", 1).alias("pct_static"),
-        F.round("pct_staged", 1).alias("pct_staged"),
-        F.round("median_saved", 1).alias("median_saved_sec"),
+    out = rows.select(key, F.explode(parts).alias("p")).select(key, "p.scope", "p.name", "p.part").filter(
+        (F.col("scope") == "svi_quartile") | (F.size("part") > 0)
     )
-    # the bands a scenario lacks, found without another pass over the facts
-    seen = out.filter("scope = 'svi_quartile'").groupBy(key).agg(F.collect_set("name").alias("names"))
-    lacking = seen.select(
-        key,
-        F.explode(F.array_except(F.array(*[F.lit(q) for q in ("Q1", "Q2", "Q3", "Q4")]), "names")).alias("name"),
-    ).select(
-        key, F.lit("svi_quartile").alias("scope"), "name",
-        *[F.lit(0.0).alias(c) for c in ("pct_static", "pct_staged", "median_saved_sec")],
+    figures = {"pct_static": "pct_static", "pct_staged": "pct_staged", "median_saved": "median_saved_sec"}
+    made = _measures(F.col("part"))
+    return out.select(
+        key, "scope", "name",
+        *[F.when(F.size("part") == 0, 0.0).otherwise(F.round(made[m], 1)).alias(n) for m, n in figures.items()],
     )
-    return out.unionByName(lacking)
 
 
 def zone_results(zone_rows: DataFrame, key: str) -> DataFrame:
@@ -238,15 +250,36 @@ def response_histogram(zone_rows: DataFrame, *keys: str, bins: int = 15, top_min
 
 
 def response_sample(zone_rows: DataFrame, key: str, cap: int = 50) -> DataFrame:
-    """At most ``cap`` whole-second responses per scenario from the distribution in
-    which a zone occurs once per expected call; repeatable hash order."""
-    copies = zone_rows.select(
-        key, "zone", F.bround("static_time").cast("int").alias("static_sec"),
-        F.bround("staged_time").cast("int").alias("staged_sec"),
-        F.explode(F.sequence(F.lit(1), rs.repeat_weight(F.col("demand")))).alias("copy"),
+    """At most ``cap`` whole-second responses per scenario from the distribution in which a zone occurs once per
+    expected call; repeatable.
+
+    Calls are numbered through the zones of a scenario by running sums of their weights. The row picks ``cap`` numbers
+    of all calls, one at a seeded place of each of ``cap`` equal stretches, and only these become rows.
+    """
+    zone = F.struct(
+        "zone", rs.repeat_weight(F.col("demand")).cast("long").alias("copies"),
+        F.bround("static_time").cast("int").alias("static_sec"), F.bround("staged_time").cast("int").alias("staged_sec"),
     )
-    tag = copies.withColumn("copy_id", F.concat_ws("#", "zone", F.col("copy").cast("string")))
-    return capped_sample(tag, [key], "copy_id", cap).drop("copy_id")
+    rows = zone_rows.groupBy(key).agg(F.array_sort(F.collect_list(zone)).alias("zones"))
+    nothing = F.array().cast("array<struct<zone: string, copies: bigint, static_sec: int, staged_sec: int, first: bigint>>")
+    start = F.struct(F.lit(0).cast("long").alias("n"), nothing.alias("zones"))
+
+    def add(acc: Column, z: Column) -> Column:
+        named = F.struct(*[z[c].alias(c) for c in ("zone", "copies", "static_sec", "staged_sec")], (acc["n"] + 1).alias("first"))
+        return F.struct((acc["n"] + z["copies"]).alias("n"), F.concat(acc["zones"], F.array(named)).alias("zones"))
+
+    rows = rows.select(key, F.aggregate("zones", start, add).alias("s")).select(key, F.col("s.n").alias("n"), F.col("s.zones").alias("zones"))
+    edge = lambda i: F.floor(F.col("n") * i / cap)
+
+    def place(i: Column) -> Column:
+        drawn = F.conv(F.substring(F.md5(F.concat_ws("#", F.col(key).cast("string"), i.cast("string"))), 1, 15), 16, 10)
+        return F.pmod(drawn.cast("long"), F.greatest(edge(i + 1) - edge(i), F.lit(1)))
+
+    some = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda i: edge(i) + place(i) + 1)
+    picks = F.when(F.col("n") <= cap, F.sequence(F.lit(1).cast("long"), F.col("n"))).otherwise(some)
+    return rows.filter("n > 0").select(key, "zones", F.explode(picks).alias("call")).withColumn(
+        "z", F.element_at(F.filter("zones", lambda z: z["first"] <= F.col("call")), -1)
+    ).select(key, "z.zone", "z.static_sec", "z.staged_sec", (F.col("call") - F.col("z.first") + 1).cast("int").alias("copy"))
 
 
 def staging_point_effect(points: DataFrame, zone_rows: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
@@ -20,6 +21,10 @@ TRAINING_FILLS = {
 }
 
 
+#: rows of the training table that a task takes at least
+ROWS_PER_TASK = 20_000
+
+
 def training_frame(bins: DataFrame, baselines: DataFrame, stats: DataFrame) -> DataFrame:
     """Zone bins with their baseline and zone ratios; both lookups are bounded
     by zones x hours x weekdays and broadcast."""
@@ -29,6 +34,20 @@ def training_frame(bins: DataFrame, baselines: DataFrame, stats: DataFrame) -> D
     return fill(df, TRAINING_FILLS)
 
 
+def leave_own_date_out(frame: DataFrame) -> DataFrame:
+    """Training rows by date with the baseline of the other dates: the mean of (zone, hour, weekday) without the row itself.
+
+    A baseline that contains the row's own count tells the trees part of the answer, which no test row has. Where there is
+    no other date the fill of the frame takes its place. Other rows keep theirs. The dates per key (at most 5,208 rows) are
+    broadcast.
+    """
+    keys, train = [ZONE, "hour", "dayofweek"], F.col("split") == "train"
+    dates = frame.filter(train & F.col(ZONE).isin(dim.ZONE_CODES)).groupBy(*keys).agg(F.count("*").alias("_dates"))
+    others = (F.col("zone_baseline_avg") * F.col("_dates") - F.col("incident_count")) / F.nullif(F.col("_dates") - 1, F.lit(0))
+    own = F.when(train, F.coalesce(others, F.lit(TRAINING_FILLS["zone_baseline_avg"]))).otherwise(F.col("zone_baseline_avg"))
+    return frame.join(F.broadcast(dates), keys, "left").withColumn("zone_baseline_avg", own).drop("_dates")
+
+
 def _assembled(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=dim.FEATURES, outputCol="features").transform(df)
 
@@ -36,26 +55,37 @@ def _assembled(df: DataFrame) -> DataFrame:
 def train(
     frame: DataFrame, trees: int = 300, depth: int = 6, step: float = 0.05, sample: float = 0.8, seed: int = 42, patience: int = 20,
 ) -> GBTRegressionModel:
-    """Boosted regression trees on ``incident_count``. The error on the test rows after each round decides how many trees
-    stay: those up to the best round, once ``patience`` rounds bring no gain. The assembled frame is written once: every
-    tree reads it again."""
+    """Boosted regression trees on ``incident_count``, grown once. The error on the test rows after each round decides how
+    many of them stay: those up to the best round, once ``patience`` rounds bring no gain.
+
+    Bins should have the grain of their baseline, a date's hour (``zone_bins`` with ``incident_date``): a monthly bin sums
+    several dates, and trees that learn such sums miss single dates by as much.
+    """
     data = _assembled(frame).select(
         "features", F.col("incident_count").cast("double").alias("label"), (F.col("split") == "test").alias("holdout")
     )
+    # a tree is a few short jobs; tasks of few rows would cost more than they do
     data = cut_lineage(data)
-
-    def fit(rounds: int) -> GBTRegressionModel:
-        return GBTRegressor(
-            maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample, featureSubsetStrategy=str(sample), seed=seed,
-            checkpointInterval=20, maxMemoryInMB=1024, cacheNodeIds=False,
-        ).fit(data.where("not holdout"))
-
-    full, holdout = fit(trees), data.where("holdout")
-    if holdout.isEmpty():
-        return full
-    best = best_round(full.evaluateEachIteration(holdout, "squared"), patience)
-    # the same seed grows the same trees
-    return full if best == trees else fit(best)
+    data = data.coalesce(max(1, min(data.rdd.getNumPartitions(), 1 + data.count() // ROWS_PER_TASK)))
+    full = GBTRegressor(
+        maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=sample, featureSubsetStrategy=str(sample), seed=seed,
+        checkpointInterval=20, maxMemoryInMB=1024, cacheNodeIds=False,
+    ).fit(data.where("not holdout"))
+    holdout = data.where("holdout")
+    return full if holdout.isEmpty() else first_trees(full, best_round(full.evaluateEachIteration(holdout, "squared"), patience))
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model made of the first ``n`` trees and their weights."""
+    if n >= model.getNumTrees:
+        return model
+    sc = SparkContext.getOrCreate()
+    ml, grown, weights = sc._jvm.org.apache.spark.ml, model._java_obj.trees(), model._java_obj.treeWeights()
+    some = sc._gateway.new_array(ml.regression.DecisionTreeRegressionModel, n)
+    shares = sc._gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        some[i], shares[i] = grown[i], weights[i]
+    return GBTRegressionModel(ml.regression.GBTRegressionModel(model.uid, some, shares, model.numFeatures))
 
 
 def best_round(errors: list[float], patience: int) -> int:

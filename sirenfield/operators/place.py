@@ -3,20 +3,24 @@
 A scenario's zones (at most 31) travel as one small array, so the whole Lloyd
 iteration of a scenario runs inside one row with built-in array functions:
 one shuffle groups the zones of each scenario, and no round of the iteration
-touches the network. Scenarios spread over all tasks.
+touches the network. Scenarios spread over all tasks. The iteration runs in
+passes; only scenarios that have not settled take part in the next one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dimensions as dim
-from ..session import spread
+from ..session import spread, work_tables
 from .travel import snap_to_zone
 
 WEIGHT_FLOOR = 0.01
-ROUNDS = 50
+#: rounds of a pass, and passes before a scenario counts as not converging (only rounding can make it go in circles)
+ROUNDS, PASSES = 50, 40
 
 
 def floored(demand: Column) -> Column:
@@ -85,91 +89,108 @@ def _nearest(p: Column, centres: Column) -> Column:
     return F.array_min(ranked)["j"]
 
 
-def lloyd(points: Column, k: Column, rounds: int = ROUNDS) -> Column:
-    """Weighted K-Means of one row's points: array of (lat, lon) centres and the
-    points with their label. A centre without points stays where it is.
+def _labelled(points: Column, label, before) -> Column:
+    fields = ("zone_ord", "zone", "w", "lat", "lon", "predicted")
+    return F.transform(
+        points,
+        lambda p: F.struct(*[p[f].alias(f) for f in fields], label(p).cast("int").alias("label"), before(p).alias("before")),
+    )
 
-    The fold alternates two steps over its state, (re)label and (re)centre, so
-    that every step reads a finished result of the other. Once no label changes
-    the remaining steps pass the state on untouched.
-    """
 
-    def labelled(points: Column, label, before) -> Column:
-        fields = ("zone_ord", "zone", "w", "lat", "lon", "predicted")
-        return F.transform(
-            points,
-            lambda p: F.struct(
-                *[p[f].alias(f) for f in fields], label(p).cast("int").alias("label"), before(p).alias("before")
-            ),
-        )
+def _recentre(state) -> Column:
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
 
-    def recentre(state: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
-
-        def centre(old: Column, j: Column) -> Column:
-            def add(acc: Column, p: Column) -> Column:
-                w = F.when(p["label"] == j, p["w"]).otherwise(0.0)
-                return F.struct(
-                    (acc["w"] + w).alias("w"),
-                    (acc["lat"] + w * p["lat"]).alias("lat"),
-                    (acc["lon"] + w * p["lon"]).alias("lon"),
-                )
-
-            return F.aggregate(
-                state["points"],
-                zero,
-                add,
-                lambda acc: F.when(
-                    acc["w"] > 0,
-                    F.struct((acc["lat"] / acc["w"]).alias("lat"), (acc["lon"] / acc["w"]).alias("lon")),
-                ).otherwise(old),
+    def centre(old: Column, j: Column) -> Column:
+        def add(acc: Column, p: Column) -> Column:
+            w = F.when(p["label"] == j, p["w"]).otherwise(0.0)
+            return F.struct(
+                (acc["w"] + w).alias("w"),
+                (acc["lat"] + w * p["lat"]).alias("lat"),
+                (acc["lon"] + w * p["lon"]).alias("lon"),
             )
 
-        return F.transform(state["centres"], centre)
+        return F.aggregate(
+            state["points"],
+            zero,
+            add,
+            lambda acc: F.when(
+                acc["w"] > 0,
+                F.struct((acc["lat"] / acc["w"]).alias("lat"), (acc["lon"] / acc["w"]).alias("lon")),
+            ).otherwise(old),
+        )
+
+    return F.transform(state["centres"], centre)
+
+
+def _iterate(state: Column, first: int, rounds: int) -> Column:
+    """``rounds`` of Lloyd's iteration, the first one beginning with step ``first``: 0 labels, 1 centres.
+
+    The fold alternates two steps over its state, (re)label and (re)centre, so
+    that every step reads a finished result of the other. Once no label changes
+    the remaining steps pass the state on untouched.
+    """
 
     def step(state: Column, i: Column) -> Column:
-        again = labelled(state["points"], lambda p: _nearest(p, state["centres"]), lambda p: p["label"])
+        again = _labelled(state["points"], lambda p: _nearest(p, state["centres"]), lambda p: p["label"])
         relabelled = F.struct(
             state["centres"].alias("centres"), again.alias("points"), F.lit(False).alias("settled")
         )
         recentred = F.struct(
-            recentre(state).alias("centres"),
+            _recentre(state).alias("centres"),
             state["points"].alias("points"),
             F.forall(state["points"], lambda p: p["label"] == p["before"]).alias("settled"),
         )
         return F.when(state["settled"], state).when(i % 2 == 0, relabelled).otherwise(recentred)
 
+    return F.aggregate(F.sequence(F.lit(first), F.lit(2 * rounds)), state, step)
+
+
+def lloyd(points: Column, k: Column, rounds: int = ROUNDS) -> Column:
+    """Weighted K-Means of one row's points: array of (lat, lon) centres, the points with their label, and whether no
+    label changed any more. A centre without points stays where it is; a single cluster is its weighted centre.
+    """
     start = F.struct(
         seed_centres(points, k).alias("centres"),
-        labelled(points, lambda p: F.lit(-1), lambda p: F.lit(-2)).alias("points"),
+        _labelled(points, lambda p: F.lit(-1), lambda p: F.lit(-2)).alias("points"),
         F.lit(False).alias("settled"),
     )
-    many = F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds)), start, step)
-
-    # a single cluster is its weighted centre, no iteration needed
-    whole = labelled(points, lambda p: F.lit(0), lambda p: F.lit(0))
+    whole = _labelled(points, lambda p: F.lit(0), lambda p: F.lit(0))
     origin = F.array(F.struct(F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")))
-    centre = recentre({"centres": origin, "points": whole})
+    centre = _recentre({"centres": origin, "points": whole})
     single = F.struct(centre.alias("centres"), whole.alias("points"), F.lit(True).alias("settled"))
-    return F.when(k == 1, single).otherwise(many)
+    return F.when(k == 1, single).otherwise(_iterate(start, 0, rounds))
 
 
-def _clusters(grouped: DataFrame, keep: list[str], rounds: int) -> DataFrame:
-    """Runs the iteration on (points, k) and returns one row per cluster.
+def settle(grouped: DataFrame, keep: list[str], rounds: int = ROUNDS, passes: int = PASSES) -> DataFrame:
+    """Runs the iteration on (points, k): (keep, state), every state settled or, after ``passes``, marked as not.
 
-    The outer form of the explode matters: for the inner one the optimizer adds a
-    filter on the array's size, which would run the whole iteration again.
+    A pass writes its states; those that have not settled go on from there in the next pass.
     """
-    state = grouped.withColumn("state", lloyd(F.col("points"), F.col("k"), rounds))
-    return state.select(
+    with work_tables(grouped.sparkSession) as write:
+        state = write(grouped.select(*keep, lloyd(F.col("points"), F.col("k"), rounds).alias("state")))
+        done = []
+        for _ in range(passes - 1):
+            open_rows = state.filter(~F.col("state.settled"))
+            if open_rows.isEmpty():
+                break
+            done.append(state.filter("state.settled"))
+            state = write(open_rows.select(*keep, _iterate(F.col("state"), 1, rounds).alias("state")))
+        return write(reduce(DataFrame.unionByName, [*done, state]), keep=True)
+
+
+def _clusters(grouped: DataFrame, keep: list[str], rounds: int) -> DataFrame:
+    """One row per cluster of the settled iteration."""
+    return settle(grouped, keep, rounds).select(
         *keep,
         F.col("state.points").alias("points"),
-        F.posexplode_outer("state.centres").alias("label", "centre"),
+        F.col("state.settled").alias("converged"),
+        F.posexplode("state.centres").alias("label", "centre"),
     ).select(
         *keep,
         "label",
         F.col("centre.lat").alias("lat"),
         F.col("centre.lon").alias("lon"),
+        "converged",
         F.filter("points", lambda p: p["label"] == F.col("label")).alias("members"),
     )
 
@@ -221,30 +242,29 @@ def allocate_units(ranks: DataFrame, units: DataFrame, key: str) -> DataFrame:
 
     With fewer units than boroughs only the top ones get a unit. The surplus is
     the top ``units - boroughs`` of the quotients demand / j (at most 5 x units
-    rows per scenario), which equals handing units out one at a time.
+    of them per scenario), which equals handing units out one at a time.
     """
+    # a window would need the boroughs of a key together again; the row's own array has them
     df = ranks.join(units, key)
     extra = F.col("units") - F.col("n_boroughs")
-    order = Window.partitionBy(key).orderBy(F.desc("quotient"), "borough_rank", "j")
-    quotients = (
-        df.filter(extra > 0)
-        .withColumn("j", F.explode(F.sequence(F.lit(1), extra)))
-        .withColumn("quotient", F.col("demand") / F.col("j"))
-        .withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= extra)
-    )
-    won = quotients.groupBy(key, "borough").agg(F.count("*").alias("extra_units"))
+    per_key = Window.partitionBy(key)
+    bids = F.when(extra > 0, F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), lambda j: F.struct(
+        (F.col("demand") / j).alias("quotient"), (-F.col("borough_rank")).alias("first"), (-j).alias("j")
+    )))
+    every = F.flatten(F.collect_list("bids").over(per_key))
+    won = F.slice(F.reverse(F.array_sort(F.col("every"))), F.lit(1), F.greatest(extra, F.lit(0)))
+    mine = F.size(F.filter(won, lambda b: b["first"] == -F.col("borough_rank")))
     base = F.when((extra >= 0) | (F.col("borough_rank") <= F.col("units")), 1).otherwise(0)
-    return df.join(won, [key, "borough"], "left").withColumn(
-        "clusters", (base + F.coalesce("extra_units", F.lit(0))).cast("int")
-    ).drop("extra_units")
+    return df.withColumn("bids", bids).withColumn("every", every).withColumn(
+        "clusters", (base + F.when(extra > 0, mine).otherwise(0)).cast("int")
+    ).drop("bids", "every")
 
 
 def borough_placement(forecast: DataFrame, units: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """Borough-fair placement. A borough's clusters never exceed its zones (any
     surplus units lapse); a single cluster is the weighted centre."""
     allocation = allocate_units(borough_ranks(forecast, key), units, key).filter("clusters > 0")
-    grouped = spread(forecast, key, "borough").groupBy(key, "borough").agg(zone_points().alias("points"))
+    grouped = spread(forecast, key).groupBy(key, "borough").agg(zone_points().alias("points"))
     grouped = grouped.join(allocation.select(key, "borough", "clusters"), [key, "borough"])
     grouped = grouped.withColumn("k", F.least("clusters", F.size("points")))
     return number_by_demand(point_summary(_clusters(grouped, [key, "borough"], rounds)), key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..dimensions import local_table
@@ -19,15 +19,12 @@ def required_columns(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return local_table(df.sparkSession, [(f"{name}: required columns", not missing, detail)], REPORT)
 
 
-def expect(df: DataFrame, name: str, **rules: tuple[Column, Column]) -> DataFrame:
-    """Several checks over one table in a single aggregation.
+def measures(rules: dict[str, tuple[Column, Column]]) -> list[Column]:
+    return [m.cast("double").alias(rule) for rule, (m, _) in rules.items()]
 
-    Each rule is (measured aggregate, condition over that measure written with
-    the column name ``value``).
-    """
-    measures = df.agg(*[m.cast("double").alias(rule) for rule, (m, _) in rules.items()])
-    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").alias("value")) for r in rules])
-    long = measures.select(F.inline(rows))
+
+def _judged(long: DataFrame, name: str, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(rule, value) rows to (check, passed, detail)."""
     passed = reduce(lambda acc, kv: acc.when(F.col("rule") == kv[0], kv[1][1]), rules.items(), F)
     return long.select(
         F.concat(F.lit(f"{name}: "), "rule").alias("check_name"),
@@ -36,6 +33,40 @@ def expect(df: DataFrame, name: str, **rules: tuple[Column, Column]) -> DataFram
     )
 
 
+def expect(df: DataFrame, name: str, **rules: tuple[Column, Column]) -> DataFrame:
+    """Several checks over one table in a single aggregation.
+
+    Each rule is (measured aggregate, condition over that measure written with
+    the column name ``value``).
+    """
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").alias("value")) for r in rules])
+    return _judged(df.agg(*measures(rules)).select(F.inline(rows)), name, rules)
+
+
+class Watch:
+    """The checks of :func:`expect`, measured while the table is written: no second scan.
+
+    ``over(df)`` is the frame to write; ``report()`` judges what was measured, once the write is done. Measures must not
+    be distinct aggregates.
+    """
+
+    def __init__(self, name: str, **rules: tuple[Column, Column]):
+        self.name, self.rules, self.seen = name, rules, Observation(name)
+
+    def over(self, df: DataFrame) -> DataFrame:
+        self.spark = df.sparkSession
+        return df.observe(self.seen, *measures(self.rules)) if self.rules else df
+
+    def report(self) -> DataFrame:
+        values = self.seen.get if self.rules else {}
+        return _judged(local_table(self.spark, [(r, values[r]) for r in self.rules], "rule string, value double"), self.name, self.rules)
+
+
+def distinct(column: Column) -> Column:
+    """Number of different values of a column that has few by its nature (zones, boroughs, bands)."""
+    return F.size(F.collect_set(column))
+
+
 def share(cond: Column) -> Column:
     """Share of rows for which the condition holds."""
     return F.avg(cond.cast("int"))
@@ -46,9 +77,9 @@ def violations(cond: Column) -> Column:
     return F.sum(F.when(F.coalesce(cond, F.lit(False)), 0).otherwise(1))
 
 
-def missing_keys(expected: DataFrame, found: DataFrame, column: str) -> DataFrame:
+def missing_keys(expected: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     """Expected keys that the table lacks."""
-    return expected.select(column).subtract(found.select(column))
+    return expected.select(*columns).subtract(found.select(*columns))
 
 
 def key_sets(expected: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:

@@ -1,12 +1,11 @@
 """Drive-time tables and nearest-origin searches.
 
 Zones are 31 by definition, so a row meets every zone by exploding a literal
-array in its own task. Large point sets meet through grid cells.
+array in its own task. Large point sets meet through a tree of boxes.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import dimensions as dim
 from ..functions.geo import drive_seconds, great_circle_km, great_circle_km_atan2, planar_d2
-from ..session import cut_lineage, spread
+from ..session import spread, work_tables
 
 
 def each_zone(df: DataFrame, alias: str = "z") -> DataFrame:
@@ -94,6 +93,20 @@ def legs_into(matrix: DataFrame) -> DataFrame:
     )
 
 
+def zones_close_by(lon: Column, lat: Column) -> Column:
+    """Codes of the zones whose centre lies within 2 km of a point."""
+    close = F.filter(dim.zone_array(), lambda z: great_circle_km_atan2(lon, lat, z["lon"], z["lat"]) < dim.BORROW_RADIUS_KM)
+    return F.transform(close, lambda z: z["zone"])
+
+
+def staged_seconds(point: Column, lon: Column, lat: Column, legs: Column, factor: Column) -> Column:
+    """Drive from a placed point (lon, lat, near) to a zone's centre: direct, or along a leg of a zone close by."""
+    km = great_circle_km_atan2(point["lon"], point["lat"], lon, lat)
+    direct = km / (F.lit(dim.URBAN_KMH) / factor) * 3600
+    borrowed = F.array_min(F.transform(point["near"], lambda o: legs[o]))
+    return F.least(direct, borrowed.cast("double"))
+
+
 def staged_drive(points: DataFrame, matrix: DataFrame, keys: list[str], factor: str) -> DataFrame:
     """Best drive time per key and zone from placed points.
 
@@ -102,86 +115,135 @@ def staged_drive(points: DataFrame, matrix: DataFrame, keys: list[str], factor:
     speed always competes. One pass: points of a key meet in one partition and fan
     out to zones there, so the minimum needs no further shuffle.
     """
-    lon, lat = F.col("lon"), F.col("lat")
-    close = F.filter(
-        dim.zone_array(), lambda z: great_circle_km_atan2(lon, lat, z["lon"], z["lat"]) < dim.BORROW_RADIUS_KM
-    )
-    near = spread(points, *keys).select(*keys, factor, "lon", "lat", F.transform(close, lambda z: z["zone"]).alias("near"))
+    near = spread(points, *keys).select(*keys, factor, "lon", "lat", zones_close_by(F.col("lon"), F.col("lat")).alias("near"))
     fan = each_zone(near).select(
-        *keys, factor, "lon", "lat", "near", "z.zone", F.col("z.lon").alias("z_lon"), F.col("z.lat").alias("z_lat")
+        *keys, factor, F.struct("lon", "lat", "near").alias("p"), "z.zone", F.col("z.lon").alias("z_lon"), F.col("z.lat").alias("z_lat")
     )
-    km = great_circle_km_atan2(lon, lat, F.col("z_lon"), F.col("z_lat"))
-    direct = km / (F.lit(dim.URBAN_KMH) / F.col(factor)) * 3600
-    borrowed = F.array_min(F.transform("near", lambda o: F.col("legs")[o]))
+    drive = staged_seconds(F.col("p"), F.col("z_lon"), F.col("z_lat"), F.col("legs"), F.col(factor))
     return (
         fan.join(F.broadcast(legs_into(matrix)), "zone", "left")
         .groupBy(*keys, "zone")
-        .agg(F.min(F.least(direct, borrowed.cast("double"))).alias("best_drive"))
+        .agg(F.min(drive).alias("best_drive"))
     )
 
 
-BAND_DEGREES = 8.0
+#: nodes of a leaf, children of a box as a power of two, and depth of the finest cell (0.6 m)
+LEAF_NODES, FANOUT_BITS, FINEST = 64, 4, 26
 
 
-def _cell(df: DataFrame, lon: str, lat: str, degrees: float, around: bool = False) -> DataFrame:
-    """Grid cell of a point; wide cells become latitude bands that span all
-    longitudes. With ``around`` the row is copied to the neighbouring cells too."""
-    steps = F.sequence(F.lit(-1), F.lit(1)) if around else F.array(F.lit(0))
-    df = df.withColumn("dy", F.explode(steps)).withColumn("cy", F.floor(F.col(lat) / degrees) + F.col("dy"))
-    if degrees > BAND_DEGREES:
-        return df.withColumn("cx", F.lit(0).cast("long")).drop("dy")
-    return (
-        df.withColumn("dx", F.explode(steps))
-        .withColumn("cx", F.floor(F.col(lon) / degrees) + F.col("dx"))
-        .drop("dx", "dy")
+def _interleaved(a: Column, b: Column) -> Column:
+    """Bits of two numbers in turn: neighbours on the map mostly stay neighbours in this order."""
+
+    def gaps(v: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return gaps(a).bitwiseOR(F.shiftleft(gaps(b), 1))
+
+
+def _unit_vector(lon: str, lat: str) -> dict[str, Column]:
+    """The point on a sphere of radius 1. Straight distances there are in the order of great-circle distances, also
+    across the antimeridian and at the poles."""
+    return {
+        "x": F.cos(F.radians(lat)) * F.cos(F.radians(lon)),
+        "y": F.cos(F.radians(lat)) * F.sin(F.radians(lon)),
+        "z": F.sin(F.radians(lat)),
+    }
+
+
+def box_tree(nodes: DataFrame, write) -> tuple[DataFrame, list[DataFrame]]:
+    """Nodes with their leaf, and the levels of boxes from the root's children down: parent, box, limits in x, y, z.
+
+    Leaves are cells of the map, each split in four until it has few nodes, so a crowded place has as many small leaves as
+    it needs. Nodes are sorted by cell over all tasks; how deep a node's leaf lies shows in the cells it shares with the
+    64th neighbour on either side. Runs of 16 boxes make a box above. Written by ``write``.
+    """
+    steps = 2**FINEST - 1
+    scaled = lambda c, span: F.floor((F.col(c) / span + 0.5) * steps).cast("long")
+    placed = write(
+        nodes.withColumns(_unit_vector("n_lon", "n_lat"))
+        .withColumn("cell", _interleaved(scaled("n_lon", 360.0), scaled("n_lat", 180.0)))
+        .repartitionByRange("cell").sortWithinPartitions("cell")
+        .withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33))
     )
+    order = Window.partitionBy("range").orderBy("at")
+    apart = F.col("cell").bitwiseXOR(F.lead("cell", LEAF_NODES).over(order))
+    shared = F.when(apart == 0, FINEST).otherwise(F.floor((2 * FINEST - F.length(F.bin(apart))) / 2))
+    depth = F.least(F.coalesce(F.max("shared").over(order.rowsBetween(-LEAF_NODES, 0)) + 1, F.lit(0)), F.lit(FINEST)).cast("int")
+    leaf = F.struct("depth", F.expr(f"shiftright(cell, 2 * ({FINEST} - depth))").alias("cell"))
+    begins = F.coalesce(F.lag("leaf").over(order) != F.col("leaf"), F.lit(True)).cast("long")
+    placed = write(
+        placed.withColumn("shared", shared).withColumn("depth", depth).withColumn("leaf", leaf).withColumn("begins", begins)
+        .withColumn("no", F.sum("begins").over(order))
+        .select("node_id", "n_lon", "n_lat", "x", "y", "z", F.shiftleft("range", 33).bitwiseOR(F.col("no")).alias("box"))
+    )
+    # a box is the range above bit 33 and a number below: levels between the last number's bits and 33 would repeat
+    most, last = placed.agg(F.max(F.col("box").bitwiseAND((1 << 33) - 1)), F.max(F.shiftright("box", 33))).first()
+    shifts = [0]
+    while most is not None and (most >> shifts[-1] or last >> max(0, shifts[-1] - 33)):
+        up = shifts[-1] + FANOUT_BITS
+        shifts.append(up if most >> shifts[-1] or shifts[-1] >= 33 else 33 + FANOUT_BITS)
+    limits = [f(c).alias(f"{c}{s}") for c in "xyz" for s, f in (("0", F.min), ("1", F.max))]
+    again = [f(c).alias(c) for c, f in ((f"{c}{s}", f) for c in "xyz" for s, f in (("0", F.min), ("1", F.max)))]
+    levels, boxes = [], placed.groupBy("box").agg(*limits)
+    for here, above in zip(shifts, [*shifts[1:], None]):
+        parent = F.lit(0).cast("long") if above is None else F.shiftright("box", above - here)
+        levels.append(write(boxes.withColumn("parent", parent)))
+        boxes = levels[-1].groupBy(F.col("parent").alias("box")).agg(*again)
+    return placed, levels[::-1]
+
+
+def candidate_leaves(points: DataFrame, levels: list[DataFrame], leaves: DataFrame, write) -> DataFrame:
+    """The leaves that can hold a point's nearest node: (point_id, lon, lat, box).
+
+    The nearest point of a box bounds its nodes' distances from below, the farthest corner from above. Level by level
+    only boxes stay whose lower bound is within the least upper bound that the point has seen. Of the leaves the nearest
+    is opened first; only those stay that are no farther than the node found there.
+    """
+    keys = ["point_id", "lon", "lat"]
+    start = points.select(*keys).withColumns(_unit_vector("lon", "lat"))
+    found = start.withColumns({"box": F.lit(0).cast("long"), "low": F.lit(0.0)})
+    square = lambda side: reduce(lambda a, b: a + b, [side(c) * side(c) for c in "xyz"])
+    outside = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0))
+    across = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(c) - F.col(f"{c}1")))
+    # the slack covers rounding: straight and great-circle distances are computed differently
+    slack = lambda distance: distance * (1 + 1e-9) + 1e-9
+    for level in levels:
+        opened = found.drop("low").withColumnRenamed("box", "parent").join(level, "parent").select(
+            *keys, "x", "y", "z", "box", F.sqrt(square(outside)).alias("low"), F.sqrt(square(across)).alias("high")
+        )
+        least = F.min("high").over(Window.partitionBy(*keys))
+        found = opened.withColumn("least", least).filter(F.col("low") <= slack(F.col("least"))).drop("high", "least")
+    found = write(found)
+    nodes = leaves.select("box", *[F.col(c).alias(f"n_{c}") for c in "xyz"])
+    nearest = found.groupBy(*keys, "x", "y", "z").agg(F.min(F.struct("low", "box"))["box"].alias("box"))
+    reach = nearest.join(nodes, "box").groupBy(*keys).agg(F.min(F.sqrt(square(lambda c: F.col(c) - F.col(f"n_{c}")))).alias("reach"))
+    return found.join(reach, keys).filter(F.col("low") <= slack(F.col("reach"))).select(*keys, "box")
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, degrees: float = 0.01, growth: int = 4) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nearest node of every point with its distance in metres and a far flag (> 500 m).
 
-    ``points``: point_id, lon, lat. ``nodes``: node_id, lon, lat, on one side of
-    the antimeridian. Exact, by equi-joins on grid cells:
-
-    * nodes at the same place collapse to the lowest id, so a crowded cell costs
-      no more than its distinct places;
-    * a level joins points with the nodes of the cells around them. An answer
-      stands once its distance is no more than the cell's narrowest side;
-      nothing outside the block can be nearer;
-    * the rest goes on to cells ``growth`` times as wide, which only points far
-      from every node ever reach. Past 8 degrees cells are latitude bands, and
-      the last band width covers the globe.
+    ``points``: point_id, lon, lat. ``nodes``: node_id, lon, lat. Exact: nodes at the same place collapse to the lowest
+    id, which also wins ties; a tree of boxes with few nodes each is descended for all points at once, and only leaves
+    that can win are compared node by node. Points without a place are left out.
     """
     places = nodes.groupBy("lon", "lat").agg(F.min("node_id").alias("node_id"))
     places = places.select("node_id", F.col("lon").alias("n_lon"), F.col("lat").alias("n_lat"))
     metres = great_circle_km(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat")) * 1000
-    best = F.min(F.struct(metres.alias("metres"), F.col("node_id"))).alias("best")
-    metres_per_degree = math.pi * dim.EARTH_RADIUS_KM / 180 * 1000
-
-    open_points, done, size = points.select("point_id", "lon", "lat"), [], degrees
-    while True:
-        found = (
-            _cell(open_points, "lon", "lat", size)
-            .join(_cell(places, "n_lon", "n_lat", size, around=True), ["cx", "cy"])
+    with work_tables(points.sparkSession) as write:
+        leaves, levels = box_tree(places, write)
+        best = (
+            candidate_leaves(points, levels, leaves, write)
+            .join(leaves.select("box", "node_id", "n_lon", "n_lat"), "box")
             .groupBy("point_id", "lon", "lat")
-            .agg(best)
+            .agg(F.min(F.struct(metres.alias("metres"), F.col("node_id"))).alias("best"))
         )
-        if size >= 180:
-            done.append(found)
-            break
-        side = F.lit(size * metres_per_degree)
-        if size <= BAND_DEGREES:  # meridians converge: use the block's poleward edge
-            side = side * F.cos(F.radians(F.least(F.abs("lat") + 2 * size, F.lit(90.0))))
-        settled = cut_lineage(found.filter(F.col("best.metres") <= side))
-        done.append(settled)
-        open_points = cut_lineage(open_points.join(settled.select("point_id"), "point_id", "left_anti"))
-        if open_points.isEmpty():
-            break
-        size *= growth
-    return reduce(DataFrame.unionByName, done).select(
-        "point_id", F.col("best.node_id").alias("node_id"), F.col("best.metres").alias("metres"),
-        (F.col("best.metres") > 500).cast("int").alias("is_far"),
-    )
+        return write(best.select(
+            "point_id", F.col("best.node_id").alias("node_id"), F.col("best.metres").alias("metres"),
+            (F.col("best.metres") > 500).cast("int").alias("is_far"),
+        ), keep=True)
 
 
 def zip_zone(spark) -> DataFrame:
