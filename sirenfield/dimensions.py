@@ -59,64 +59,82 @@ BOROUGHS = [
     ("S", "RICHMOND / STATEN ISLAND", "Staten Island", 0.025),
 ]
 
+# fixed values: ZIP codes of the zones; one that occurs twice belongs to the first
 ZONE_ZIPS = {
-    "B1": "10451 10452 10454 10455 10459 10474",
-    "B2": "10453 10456 10457 10458 10460",
-    "B3": "10462 10472 10473",
-    "B4": "10461 10464 10465 10469 10470 10475",
-    "B5": "10463 10466 10467 10468 10471",
-    "K1": "11223 11224 11229 11235",
-    "K2": "11215 11217 11225 11226 11238",
-    "K3": "11206 11207 11221 11233 11237",
-    "K4": "11203 11208 11210 11212 11236 11239",
-    "K5": "11205 11213 11216 11233 11238",
-    "K6": "11204 11218 11219 11220 11230 11232",
-    "K7": "11201 11205 11211 11222 11249",
-    "M1": "10004 10005 10006 10007 10038 10280",
-    "M2": "10001 10010 10011 10012 10013 10014",
-    "M3": "10018 10019 10020 10036",
-    "M4": "10016 10017 10022 10152 10153 10154",
-    "M5": "10021 10028 10065 10075",
-    "M6": "10128 10029",
-    "M7": "10026 10027 10029 10030 10035 10037",
-    "M8": "10031 10032 10033",
-    "M9": "10034 10040 10463",
-    "Q1": "11691 11692 11693 11694 11697",
-    "Q2": "11354 11355 11356 11357 11358 11359 11360",
-    "Q3": "11374 11375 11379 11385",
-    "Q4": "11101 11102 11103 11104 11377 11378",
-    "Q5": "11412 11413 11418 11419 11420 11421 11423 11432 11433 11434 11435 11436",
-    "Q6": "11101 11102 11103 11106",
-    "Q7": "11361 11362 11363 11364 11365 11366 11367",
-    "S1": "10301 10302 10303 10304 10310",
-    "S2": "10305 10306 10314",
-    "S3": "10307 10308 10309 10312",
+    "B1": ["10451", "10452", "10454", "10455", "10459", "10474"],
+    "B2": ["10453", "10456", "10457", "10458", "10460"],
+    "B3": ["10462", "10472", "10473"],
+    "B4": ["10461", "10464", "10465", "10469", "10470", "10475"],
+    "B5": ["10463", "10466", "10467", "10468", "10471"],
+    "K1": ["11223", "11224", "11229", "11235"],
+    "K2": ["11215", "11217", "11225", "11226", "11238"],
+    "K3": ["11206", "11207", "11221", "11233", "11237"],
+    "K4": ["11203", "11208", "11210", "11212", "11236", "11239"],
+    "K5": ["11205", "11213", "11216", "11233", "11238"],
+    "K6": ["11204", "11218", "11219", "11220", "11230", "11232"],
+    "K7": ["11201", "11205", "11211", "11222", "11249"],
+    "M1": ["10004", "10005", "10006", "10007", "10038", "10280"],
+    "M2": ["10001", "10010", "10011", "10012", "10013", "10014"],
+    "M3": ["10018", "10019", "10020", "10036"],
+    "M4": ["10016", "10017", "10022", "10152", "10153", "10154"],
+    "M5": ["10021", "10028", "10065", "10075"],
+    "M6": ["10128", "10029"],
+    "M7": ["10026", "10027", "10029", "10030", "10035", "10037"],
+    "M8": ["10031", "10032", "10033"],
+    "M9": ["10034", "10040", "10463"],
+    "Q1": ["11691", "11692", "11693", "11694", "11697"],
+    "Q2": ["11354", "11355", "11356", "11357", "11358", "11359", "11360"],
+    "Q3": ["11374", "11375", "11379", "11385"],
+    "Q4": ["11101", "11102", "11103", "11104", "11377", "11378"],
+    "Q5": ["11412", "11413", "11418", "11419", "11420", "11421", "11423", "11432", "11433", "11434", "11435", "11436"],
+    "Q6": ["11101", "11102", "11103", "11106"],
+    "Q7": ["11361", "11362", "11363", "11364", "11365", "11366", "11367"],
+    "S1": ["10301", "10302", "10303", "10304", "10310"],
+    "S2": ["10305", "10306", "10314"],
+    "S3": ["10307", "10308", "10309", "10312"],
 }
 
+# fixed values: WMO codes of severe weather
 SEVERE_WEATHER_CODES = [51, 53, 55, 61, 63, 65, 71, 73, 75, 77, 80, 81, 82, 85, 86, 95, 96, 99]
 
+# fixed values: kinds of events that count as major
 MAJOR_EVENT_TYPES = [
     "Special Event", "Farmers Market", "Fair/Festival", "Festival", "Athletic Event", "Concert",
     "Parade", "Street Fair", "Block Party", "Run/Walk/Race", "Demonstration/Rally",
 ]
 
-FEDERAL_HOLIDAYS = """
-2019-01-01 2019-01-21 2019-02-18 2019-05-27 2019-07-04 2019-09-02 2019-10-14 2019-11-11 2019-11-28 2019-12-25
-2020-01-01 2020-01-20 2020-02-17 2020-05-25 2020-07-03 2020-09-07 2020-10-12 2020-11-11 2020-11-26 2020-12-25
-2021-01-01 2021-01-18 2021-02-15 2021-05-31 2021-06-19 2021-07-05 2021-09-06 2021-10-11 2021-11-11 2021-11-25
-2021-12-24
-2022-01-17 2022-02-21 2022-05-30 2022-06-20 2022-07-04 2022-09-05 2022-10-10 2022-11-11 2022-11-24 2022-12-26
-2023-01-02 2023-01-16 2023-02-20 2023-05-29 2023-06-19 2023-07-04 2023-09-04 2023-10-09 2023-11-10 2023-11-23
-2023-12-25
-""".split()
-
-CITY_HOLIDAYS = """
-2019-09-29 2019-09-30 2019-10-08 2019-10-09 2019-11-05 2020-11-03
-2021-09-06 2021-09-07 2021-09-15 2021-09-16 2021-11-02
-2022-09-25 2022-09-26 2022-10-04 2022-10-05 2022-11-08
-2023-09-15 2023-09-16 2023-09-24 2023-09-25 2023-11-07
-""".split()
+# fixed values: federal holidays as observed
+FEDERAL_HOLIDAYS = [
+    "2019-01-01", "2019-01-21", "2019-02-18", "2019-05-27", "2019-07-04", "2019-09-02", "2019-10-14", "2019-11-11",
+    "2019-11-28", "2019-12-25",
+    "2020-01-01", "2020-01-20", "2020-02-17", "2020-05-25", "2020-07-03", "2020-09-07", "2020-10-12", "2020-11-11",
+    "2020-11-26", "2020-12-25",
+    "2021-01-01", "2021-01-18", "2021-02-15", "2021-05-31", "2021-06-19", "2021-07-05", "2021-09-06", "2021-10-11",
+    "2021-11-11", "2021-11-25", "2021-12-24",
+    "2022-01-17", "2022-02-21", "2022-05-30", "2022-06-20", "2022-07-04", "2022-09-05", "2022-10-10", "2022-11-11",
+    "2022-11-24", "2022-12-26",
+    "2023-01-02", "2023-01-16", "2023-02-20", "2023-05-29", "2023-06-19", "2023-07-04", "2023-09-04", "2023-10-09",
+    "2023-11-10", "2023-11-23", "2023-12-25",
+]
+
+# fixed values: election days, Rosh Hashanah, Yom Kippur
+CITY_HOLIDAYS = [
+    "2019-11-05",
+    "2020-11-03",
+    "2021-11-02",
+    "2022-11-08",
+    "2023-11-07",
+    "2019-09-29", "2019-09-30",
+    "2021-09-06", "2021-09-07",
+    "2022-09-25", "2022-09-26",
+    "2023-09-15", "2023-09-16",
+    "2019-10-08", "2019-10-09",
+    "2021-09-15", "2021-09-16",
+    "2022-10-04", "2022-10-05",
+    "2023-09-24", "2023-09-25",
+]
 
+# fixed values: first and last day of each school year
 SCHOOL_SESSIONS = [
     ("2019-09-05", "2020-03-17"),
     ("2020-09-16", "2021-06-25"),
@@ -125,26 +143,27 @@ SCHOOL_SESSIONS = [
     ("2023-09-07", "2024-06-26"),
 ]
 
-SCHOOL_CLOSURES = """
-2019-10-14 2019-11-05 2019-11-11 2019-11-27 2019-11-28 2019-11-29
-2019-12-24 2019-12-25 2019-12-26 2019-12-27 2019-12-28 2019-12-31
-2020-01-01 2020-01-20 2020-02-17 2020-02-18 2020-02-19 2020-02-20 2020-02-21
-2020-11-03 2020-11-26 2020-11-27 2020-12-24 2020-12-25 2020-12-28 2020-12-29 2020-12-30 2020-12-31
-2021-01-01 2021-01-18 2021-02-15 2021-02-16 2021-02-17 2021-02-18 2021-02-19
-2021-04-01 2021-04-02 2021-04-05 2021-04-06 2021-04-07 2021-04-08 2021-04-09 2021-05-31
-2021-10-11 2021-11-02 2021-11-25 2021-11-26
-2021-12-23 2021-12-24 2021-12-27 2021-12-28 2021-12-29 2021-12-30 2021-12-31
-2022-01-17 2022-02-21 2022-02-22 2022-02-23 2022-02-24 2022-02-25
-2022-04-14 2022-04-15 2022-04-18 2022-04-19 2022-04-20 2022-04-21 2022-04-22 2022-05-30
-2022-09-26 2022-10-05 2022-10-10 2022-11-08 2022-11-24 2022-11-25
-2022-12-23 2022-12-26 2022-12-27 2022-12-28 2022-12-29 2022-12-30
-2023-01-02 2023-01-16 2023-02-20 2023-02-21 2023-02-22 2023-02-23 2023-02-24
-2023-04-05 2023-04-06 2023-04-07 2023-04-10 2023-04-11 2023-04-12 2023-04-13 2023-04-14 2023-05-29
-2023-09-15 2023-09-16 2023-10-09 2023-11-07 2023-11-23 2023-11-24
-2023-12-25 2023-12-26 2023-12-27 2023-12-28 2023-12-29
-2024-01-01 2024-01-15 2024-02-19 2024-02-20 2024-02-21 2024-02-22 2024-02-23
-2024-03-29 2024-04-01 2024-04-02 2024-04-03 2024-04-04 2024-04-05 2024-05-27
-""".split()
+# fixed values: days without school within the sessions
+SCHOOL_CLOSURES = [
+    "2019-10-14", "2019-11-05", "2019-11-11", "2019-11-27", "2019-11-28", "2019-11-29", "2019-12-24", "2019-12-25",
+    "2019-12-26", "2019-12-27", "2019-12-28", "2019-12-31",
+    "2020-01-01", "2020-01-20", "2020-02-17", "2020-02-18", "2020-02-19", "2020-02-20", "2020-02-21", "2020-11-03",
+    "2020-11-26", "2020-11-27", "2020-12-24", "2020-12-25", "2020-12-28", "2020-12-29", "2020-12-30", "2020-12-31",
+    "2021-01-01", "2021-01-18", "2021-02-15", "2021-02-16", "2021-02-17", "2021-02-18", "2021-02-19", "2021-04-01",
+    "2021-04-02", "2021-04-05", "2021-04-06", "2021-04-07", "2021-04-08", "2021-04-09", "2021-05-31", "2021-10-11",
+    "2021-11-02", "2021-11-25", "2021-11-26", "2021-12-23", "2021-12-24", "2021-12-27", "2021-12-28", "2021-12-29",
+    "2021-12-30", "2021-12-31",
+    "2022-01-17", "2022-02-21", "2022-02-22", "2022-02-23", "2022-02-24", "2022-02-25", "2022-04-14", "2022-04-15",
+    "2022-04-18", "2022-04-19", "2022-04-20", "2022-04-21", "2022-04-22", "2022-05-30", "2022-09-26", "2022-10-05",
+    "2022-10-10", "2022-11-08", "2022-11-24", "2022-11-25", "2022-12-23", "2022-12-26", "2022-12-27", "2022-12-28",
+    "2022-12-29", "2022-12-30",
+    "2023-01-02", "2023-01-16", "2023-02-20", "2023-02-21", "2023-02-22", "2023-02-23", "2023-02-24", "2023-04-05",
+    "2023-04-06", "2023-04-07", "2023-04-10", "2023-04-11", "2023-04-12", "2023-04-13", "2023-04-14", "2023-05-29",
+    "2023-09-15", "2023-09-16", "2023-10-09", "2023-11-07", "2023-11-23", "2023-11-24", "2023-12-25", "2023-12-26",
+    "2023-12-27", "2023-12-28", "2023-12-29",
+    "2024-01-01", "2024-01-15", "2024-02-19", "2024-02-20", "2024-02-21", "2024-02-22", "2024-02-23", "2024-03-29",
+    "2024-04-01", "2024-04-02", "2024-04-03", "2024-04-04", "2024-04-05", "2024-05-27",
+]
 
 # preset name, temperature, precipitation, wind speed, label
 WEATHER_PRESETS = [
@@ -246,7 +265,7 @@ def school_sessions(spark: SparkSession) -> DataFrame:
 
 def zone_zips(spark: SparkSession) -> DataFrame:
     """Zone to ZIP pairs with the zone's order; a ZIP may occur under several zones."""
-    rows = [(ZONE_CODES.index(z), z, p) for z, zips in ZONE_ZIPS.items() for p in zips.split()]
+    rows = [(ZONE_CODES.index(z), z, p) for z, zips in ZONE_ZIPS.items() for p in zips]
     return local_table(spark, rows, "zone_ord int, zone string, zip string")
 
 
