@@ -236,3 +236,33 @@ def simhash_groups(docs: DataFrame, k: int = 4, t: int = 4) -> DataFrame:
     labels = components(links)
     named = nodes.join(labels, "node", "left").select("w0", F.coalesce("label", "node").alias("component_id"))
     return prints.join(named, "w0", "left").select("doc_id", "w0", "component_id")
+
+
+def drop_near(docs: DataFrame, k: int = 4, t: int = 4) -> DataFrame:
+    """``docs`` without near duplicates: of every group of linked fingerprints one row stays, the one of least doc_id.
+
+    Rows are judged each by its own text: of several texts under the least doc_id the one of least hash stays, repeated
+    rows count once, rows without a doc_id stay only where a group has no other. Texts without words are one group.
+    """
+    own = F.xxhash64(text_of()).alias("_h")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), own)
+    kind = "row struct<_h: bigint, doc_id: bigint>, w0 long"
+    prints = stage(rows.select(F.struct("_h", "doc_id").alias("row"), text_of().alias("text")).mapInArrow(_row_prints(k), kind), "prints")
+    # a fingerprint is a node by itself: rows of one doc_id may have several
+    nodes = prints.select("w0").distinct().withColumn("node", F.col("w0"))
+    labels = components(near_links(nodes, 1, t, block_masks(t + 3, 3), block_masks(t + 4, 4))).select(F.col("node").alias("w0"), "label")
+    grouped = prints.join(labels, "w0", "left").withColumn("label", F.coalesce("label", "w0"))
+    order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), F.col("row._h").alias("h"))
+    kept = stage(grouped.groupBy("label").agg(F.min(order).alias("least")).select("least.doc_id", "least.h"), "kept")
+    named = docs.withColumn("_h", F.xxhash64(text_of()))
+    same = named["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (named["_h"] == kept["h"])
+    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h")
+
+
+def _row_prints(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [majority(np.array([xxhash.xxh64_intdigest(p, SEED) for p in shingles(text.as_py(), k)], np.uint64)) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.array(own, np.uint64).view(np.int64))], names=["row", "w0"])
+
+    return run
