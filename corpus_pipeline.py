@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sirenfield.llm import lines, mixing, near, packing, quality
+from sirenfield.llm import lines, mixing, packing, quality, simhash
 from sirenfield.llm.common import stage, table
 
 
@@ -19,8 +19,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return near.drop_near(docs)
+    """Of every group of documents linked by fingerprints of 4-word shingles within 4 bits one stays."""
+    return simhash.drop_near(docs, k=4, t=4)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
