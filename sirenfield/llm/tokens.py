@@ -118,12 +118,12 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
-# characters whose classes are the same in every Unicode version, and the published split of byte-level BPE over them
+# characters whose classes are the same in every Unicode version; fixed value: the split that GPT-2's published encoder makes, over them
 _LETTER, _DIGIT, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r\xa0"
 _KNOWN = "[\t\n\r -~\xa0-ɏ]*"
 _PIECE = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_BLANK}{_LETTER}{_DIGIT}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
-#: pieces that a task remembers
-MAX_PIECES = 1_000_000
+#: pieces that a task remembers, and those encoded in one text (longer texts take longer a piece)
+MAX_PIECES, LINES = 1_000_000, 1_000
 
 
 class Encoder:
@@ -143,20 +143,24 @@ class Encoder:
         self.by_piece = split == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and not kind["normalizer"]
         self.added = [t["content"] for t in kind["added_tokens"]]
         self.known, self.piece = re.compile(_KNOWN), re.compile(_PIECE)
+        line_end = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else -1
+        self.by_piece &= len(line_end) == 1
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes new pieces in one text, a line each: the line ends are pieces of their own and drop out."""
-        coded = self.tok.encode("\n".join(new), add_special_tokens=False)
-        ids, cut = np.array(coded.ids, "<u4"), np.flatnonzero(np.diff(np.array(coded.word_ids, np.int64))) + 1
-        edge = [0, *cut.tolist(), len(ids)]
-        if len(edge) != 2 * len(new):  # not one piece a line after all
-            self.pieces.update(zip(new, self._whole(new)))
-            return
-        raw = ids.tobytes()
-        self.pieces.update((w, raw[4 * edge[2 * k] : 4 * edge[2 * k + 1]]) for k, w in enumerate(new))
+        """Encodes new pieces in texts of ``LINES`` lines, a piece each: line ends are pieces of their own and part the ids."""
+        texts = [new[i : i + LINES] for i in range(0, len(new), LINES)]
+        for lines, coded in zip(texts, self.tok.encode_batch_fast(["\n".join(x) for x in texts], add_special_tokens=False)):
+            ids = np.array(coded.ids, "<u4")
+            raw, ends = ids.tobytes(), np.flatnonzero(ids == self.line_end).tolist()
+            if len(ends) != len(lines) - 1:  # not one piece a line after all
+                self.pieces.update(zip(lines, self._whole(lines)))
+                continue
+            starts = [0, *[4 * i + 4 for i in ends]]
+            self.pieces.update(zip(lines, map(raw.__getitem__, map(slice, starts, [*[4 * i for i in ends], len(raw)]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         fast = [self.by_piece and self.known.fullmatch(t) is not None and not any(a in t for a in self.added) for t in texts]
@@ -164,14 +168,16 @@ class Encoder:
         if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
         held = self.pieces
-        new = list({w for p in parts for w in p if w not in held})
+        new = set().union(*parts).difference(held)
         blank = [w for w in new if w.isspace()]
         if blank:
             held.update(zip(blank, self._whole(blank)))
-        if len(blank) < len(new):
-            self._learn([w for w in new if not w.isspace()])
+            new.difference_update(blank)
+        if new:
+            self._learn(list(new))
         slow = iter(self._whole([t for t, f in zip(texts, fast) if not f]))
-        return [b"".join([held[w] for w in p]) if f else next(slow) for p, f in zip(parts, fast)]
+        ids = held.__getitem__
+        return [b"".join(map(ids, p)) if f else next(slow) for p, f in zip(parts, fast)]
 
 
 def _encode(folder: str, tokenizer: str, end_id: int):
