@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import dimensions as dim
 from .operators import aggregate, clean, enrich, impact, model, place, scenarios, travel
-from .session import shared_dir
+from .session import bucketed, shared_dir
 
 FIRST_DAY, TRAIN_END, LAST_DAY = "2024-01-01", "2024-01-20", "2024-01-31"
 SHIFT_MONTHS = 276  # orders and lineitem run 1995-2001; 23 years later they reach the event month
@@ -23,7 +23,7 @@ def _pick(values: list[str], index) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-_STAGED: dict[tuple[str, str, str], str] = {}
+_STAGED: dict[tuple[str, str, str], str | DataFrame] = {}
 
 
 class Inputs:
@@ -300,6 +300,29 @@ class Inputs:
         """Scenario x zone demand by the baseline forecast."""
         return scenarios.baseline_forecast(scenarios.expand(self.scenarios, self.baselines, self.stats))
 
+    def _bucketed(self, name: str, build) -> DataFrame:
+        """Like :meth:`_stage`, in buckets of the scenario."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STAGED:
+            _STAGED[key] = bucketed(build(), f"{shared_dir(self.spark)}/{name}", "scenario_id")
+        return _STAGED[key]
+
+    @cached_property
+    def model_forecast(self) -> DataFrame:
+        """Scenario x zone demand by the trained model."""
+        return self._bucketed("model_forecast", lambda: model.score(self.fitted, scenarios.expand(self.scenarios, self.baselines, self.stats)))
+
+    @cached_property
+    def model_placement(self) -> DataFrame:
+        units = self.model_forecast.groupBy("scenario_id").agg(F.max("ambulances").alias("units"))
+        return self._bucketed("model_placement", lambda: place.borough_placement(self.model_forecast, units, "scenario_id"))
+
+    @cached_property
+    def model_bins(self) -> DataFrame:
+        """Bin scenarios x zones by the trained model."""
+        frame = scenarios.expand(self.bin_scenarios, self.baselines, self.stats, baseline_default=3.0, zone_defaults=False)
+        return self._bucketed("model_bins", lambda: model.score(self.fitted, frame))
+
     @cached_property
     def units(self) -> DataFrame:
         return self.scenarios.select("scenario_id", F.col("ambulances").alias("units"))

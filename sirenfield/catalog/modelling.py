@@ -189,13 +189,50 @@ def scenario_comparison(t):
     return model.compare_cases(model.score(_model(t), frame), "case", CHANGED, "plain", "borough")
 
 
+@query("m11_quiet_monday")
+def quiet_monday(t):
+    """Monday at four in the morning, no school: mean and largest prediction, and whether every zone stays under five calls an hour."""
+    quiet = dim.scenario_presets(t.spark).filter("scenario = 'monday_quiet'").withColumnRenamed("scenario", KEY)
+    frame = scenarios.expand(quiet, t.baselines, t.stats, baseline_default=3.0, zone_defaults=False, is_school_day=F.lit(0))
+    return model.score(_model(t), frame).groupBy(KEY).agg(
+        F.avg("predicted").alias("mean_predicted"), F.max("predicted").alias("max_predicted"), (F.max("predicted") < 5).alias("is_quiet")
+    )
+
+
+# ---- model-driven chain ---------------------------------------------------------
+
+@query("m09_model_whatif")
+def model_whatif(t):
+    """The published chain on the trained model: bin forecasts, K-Means staging, what-if per fact, the 168-bin summary."""
+    points = place.staging_zones(t.model_bins, KEY, F.lit(10))
+    bins = t.bin_scenarios.select(KEY, "hour", F.col("dow").alias("dayofweek"))
+    staging = points.join(F.broadcast(bins), KEY).select("hour", "dayofweek", "staging_zone")
+    return impact.dense_bins(impact.bin_summary(t.fact_results(staging)))
+
+
+@query("m10_model_impact")
+def model_impact(t):
+    """Forecasts of the trained model, borough-fair placement and impact of every requested scenario, over tables in buckets of it."""
+    rows = impact.zone_whatif(t.model_forecast, t.stats, t.model_placement, t.zone_matrix, KEY)
+    return impact.grouped_impact(rows, KEY)
+
+
 # ---- data quality -------------------------------------------------------------
 
 
+def _required(*tables) -> str:
+    """Columns that a table lacks, by the names that its first row has."""
+    return " UNION ALL ".join(
+        f"""SELECT '{name}: required columns' AS check_name, len(lacking) = 0 AS passed,
+              CASE WHEN len(lacking) = 0 THEN 'all present' ELSE 'missing: ' || array_to_string(lacking, ', ') END AS detail, n AS rows
+            FROM (SELECT list_filter({list(columns)}, lambda c: NOT list_contains(json_keys(any_value(to_json(r))), c)) AS lacking, count(*) AS n FROM {view} r)"""
+        for name, view, columns in tables
+    )
+
+
 @query(
     "q01_required_columns",
-    """SELECT 'zone_baselines: required columns' AS check_name, true AS passed, 'all present' AS detail, (SELECT count(*) FROM x_baselines) AS rows
-       UNION ALL SELECT 'zone_stats: required columns', true, 'all present', (SELECT count(*) FROM x_stats)""",
+    _required(("zone_baselines", "x_baselines", BASELINE_COLUMNS), ("zone_stats", "x_stats", STATS_COLUMNS)),
 )
 def required_columns(t):
     pairs = ((t.baselines, "zone_baselines", BASELINE_COLUMNS), (t.stats, "zone_stats", STATS_COLUMNS))
@@ -219,15 +256,15 @@ def row_count_checks(t):
 _DETAIL = "'value=' || CAST(round(CAST(v AS DOUBLE), 4) AS VARCHAR)"
 
 
-@query(
-    "q02_row_counts",
-    f"""SELECT check_name, passed, {_DETAIL} AS detail FROM (
+_ROWS = f"""SELECT check_name, passed, {_DETAIL} AS detail FROM (
           SELECT 'zone_baselines: at most 5208 rows' AS check_name, count(*) <= 5208 AS passed, count(*) AS v FROM x_baselines
           UNION ALL SELECT 'zone_baselines: at least 31 rows', count(*) >= 31, count(*) FROM x_baselines
           UNION ALL SELECT 'zone_stats: exactly 31 rows', count(*) = 31, count(*) FROM x_stats
-          UNION ALL SELECT 'bin_summary: exactly 168 rows', true, 168
-          UNION ALL SELECT 'fact_whatif: has rows', count(*) > 0, count(*) FROM x_whatif)""",
-)
+          UNION ALL SELECT 'bin_summary: exactly 168 rows', count(*) = 168, count(*) FROM (SELECT unnest(range(168)) AS g) LEFT JOIN x_bin_summary s ON s.hour = g // 7 AND s.dayofweek = g % 7
+          UNION ALL SELECT 'fact_whatif: has rows', count(*) > 0, count(*) FROM x_whatif)"""
+
+
+@query("q02_row_counts", _ROWS)
 def row_counts(t):
     return row_count_checks(t)
 
@@ -246,15 +283,16 @@ def range_checks(t):
     )
 
 
-@query(
-    "q03_value_ranges",
-    f"""SELECT check_name, v = 0 AS passed, {_DETAIL} AS detail FROM (
+_RANGES = f"""SELECT check_name, v = 0 AS passed, {_DETAIL} AS detail FROM (
           SELECT 'zone_baselines: baseline above 0' AS check_name, count(*) FILTER (WHERE NOT zone_baseline_avg > 0) AS v FROM x_baselines
           UNION ALL SELECT 'zone_stats: high_acuity_ratio in 0..1', count(*) FILTER (WHERE NOT high_acuity_ratio BETWEEN 0 AND 1) FROM x_stats
           UNION ALL SELECT 'zone_stats: held_ratio in 0..1', count(*) FILTER (WHERE NOT held_ratio BETWEEN 0 AND 1) FROM x_stats
           UNION ALL SELECT 'drive_times: times in 0..7200', count(*) FILTER (WHERE NOT seconds BETWEEN 0 AND 7200) FROM x_zone_matrix
-          UNION ALL SELECT 'forecast: intensity in 0..1', 0 FROM (SELECT count(*) FROM x_forecast))""",
-)
+          UNION ALL SELECT 'forecast: intensity in 0..1', count(*) FILTER (WHERE NOT i BETWEEN 0 AND 1) FROM (
+            SELECT (predicted - min(predicted) OVER w) / (max(predicted) OVER w - min(predicted) OVER w + 0.001::DOUBLE) AS i FROM x_forecast WINDOW w AS (PARTITION BY scenario_id)))"""
+
+
+@query("q03_value_ranges", _RANGES)
 def value_ranges(t):
     return range_checks(t)
 
@@ -271,15 +309,21 @@ def share_checks(t):
     return quality.expect(e, "enriched", **nulls, **shares)
 
 
-@query(
-    "q04_null_and_share",
-    f"""SELECT check_name, passed, {_DETAIL} AS detail FROM (
-          SELECT unnest([{{'check_name': 'enriched: temperature_2m has no nulls', 'v': 0.0::DOUBLE, 'passed': true}}, {{'check_name': 'enriched: is_holiday has no nulls', 'v': 0.0, 'passed': true}},
-            {{'check_name': 'enriched: is_school_day has no nulls', 'v': 0.0, 'passed': true}}, {{'check_name': 'enriched: is_major_event has no nulls', 'v': 0.0, 'passed': true}},
-            {{'check_name': 'enriched: holiday share at least 1%', 'v': h, 'passed': h >= 0.01}}, {{'check_name': 'enriched: school share at least 20%', 'v': s, 'passed': s >= 0.2}},
-            {{'check_name': 'enriched: event share at least 1%', 'v': e, 'passed': e >= 0.01}}, {{'check_name': 'enriched: transit defaults at most 99%', 'v': d, 'passed': d <= 0.99}}], recursive := true)
-          FROM (SELECT avg(is_holiday) AS h, avg(is_school_day) AS s, avg(is_major_event) AS e, avg(CAST(subway_disruption_idx = 0.5 AS INT)) AS d FROM x_enriched))""",
+_NO_NULLS = ", ".join(
+    "{" + f"'rule': '{c} has no nulls', 'v': CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE), 'kind': 0, 'least': 0.0::DOUBLE" + "}"
+    for c in ("temperature_2m", "is_holiday", "is_school_day", "is_major_event")
 )
+
+
+_SHARES = f"""SELECT check_name, passed, {_DETAIL} AS detail FROM (
+          SELECT 'enriched: ' || r.rule AS check_name, r.v AS v, CASE r.kind WHEN 0 THEN r.v = 0 WHEN 1 THEN r.v >= r.least ELSE r.v <= r.least END AS passed FROM (SELECT unnest([
+            {_NO_NULLS},
+            {{'rule': 'holiday share at least 1%', 'v': avg(is_holiday), 'kind': 1, 'least': 0.01::DOUBLE}}, {{'rule': 'school share at least 20%', 'v': avg(is_school_day), 'kind': 1, 'least': 0.2::DOUBLE}},
+            {{'rule': 'event share at least 1%', 'v': avg(is_major_event), 'kind': 1, 'least': 0.01::DOUBLE}},
+            {{'rule': 'transit defaults at most 99%', 'v': avg(CAST(subway_disruption_idx = 0.5 AS INT)), 'kind': 2, 'least': 0.99::DOUBLE}}]) AS r FROM x_enriched))"""
+
+
+@query("q04_null_and_share", _SHARES)
 def null_and_share(t):
     return share_checks(t)
 
@@ -305,9 +349,7 @@ def relation_checks(t):
     )
 
 
-@query(
-    "q05_relations",
-    f"""WITH p AS (SELECT s.scenario, coalesce(zone_baseline_avg, 3.0::DOUBLE) AS v FROM (VALUES ('friday_peak', 20, 4), ('monday_quiet', 4, 0)) AS s(scenario, hour, dow) CROSS JOIN x_zones z
+_RELATIONS = f"""WITH p AS (SELECT s.scenario, coalesce(zone_baseline_avg, 3.0::DOUBLE) AS v FROM (VALUES ('friday_peak', 20, 4), ('monday_quiet', 4, 0)) AS s(scenario, hour, dow) CROSS JOIN x_zones z
                LEFT JOIN x_baselines b ON b.INCIDENT_DISPATCH_AREA = z.zone AND b.hour = s.hour AND b.dayofweek = s.dow),
         m(check_name, v, o) AS (
           SELECT 'bin_summary: staged no worse in over 60% of bins', avg(CAST(pct_within_8min_staged >= pct_within_8min_static AS INT)), 1 FROM x_bin_summary
@@ -316,13 +358,23 @@ def relation_checks(t):
           UNION ALL SELECT 'forecast: Bronx and Brooklyn hold 3 of top 5', sum(CAST(borough IN ('BRONX', 'BROOKLYN') AS INT)), 4 FROM (SELECT borough FROM x_bin_forecast WHERE hour = 20 AND dow = 4 ORDER BY predicted DESC, zone_ord LIMIT 5)
           UNION ALL SELECT 'forecast: peak over twice quiet', (SELECT sum(v) FROM p WHERE scenario = 'friday_peak') / (SELECT sum(v) FROM p WHERE scenario = 'monday_quiet'), 5
           UNION ALL SELECT 'baseline model: rmse below 6', sqrt(avg(pow(incident_count - zone_baseline_avg, 2))), 6 FROM x_frame WHERE split = 'test')
-        SELECT check_name, CASE o WHEN 1 THEN v > 0.6 WHEN 2 THEN v > 0 WHEN 3 THEN v >= 0 WHEN 4 THEN v >= 3 WHEN 5 THEN v > 2 ELSE v <= 6 END AS passed, {_DETAIL} AS detail FROM m""",
-)
+        SELECT check_name, CASE o WHEN 1 THEN v > 0.6 WHEN 2 THEN v > 0 WHEN 3 THEN v >= 0 WHEN 4 THEN v >= 3 WHEN 5 THEN v > 2 ELSE v <= 6 END AS passed, {_DETAIL} AS detail FROM m"""
+
+
+@query("q05_relations", _RELATIONS)
 def relations(t):
     return relation_checks(t)
 
 
-@query("q06_report")
+_KEYS = """SELECT 'zone_stats: ' || r.rule AS check_name, r.n = 0 AS passed, 'value=' || CAST(r.n AS VARCHAR) AS detail
+  FROM (SELECT unnest([{'rule': 'contains all expected', 'n': lacking}, {'rule': 'equals expected', 'n': lacking + surplus}]) AS r FROM (
+    SELECT (SELECT count(*) FROM (SELECT zone FROM x_zones EXCEPT SELECT INCIDENT_DISPATCH_AREA FROM x_stats)) AS lacking,
+           (SELECT count(*) FROM (SELECT INCIDENT_DISPATCH_AREA FROM x_stats EXCEPT SELECT zone FROM x_zones)) AS surplus))"""
+_REPORT = [_required(("zone_baselines", "x_baselines", BASELINE_COLUMNS), ("zone_stats", "x_stats", STATS_COLUMNS), ("bin_summary", "x_bin_summary", SUMMARY_COLUMNS)),
+           _KEYS, _ROWS, _RANGES, _SHARES, _RELATIONS]
+
+
+@query("q06_report", " UNION ALL ".join(f"SELECT check_name, passed, detail FROM ({part})" for part in _REPORT))
 def full_report(t):
     """All expectations as one pass/fail table."""
     key = quality.key_sets(quality.zone_keys(t.spark, "INCIDENT_DISPATCH_AREA"), t.stats, "INCIDENT_DISPATCH_AREA", "zone_stats")

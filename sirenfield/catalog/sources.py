@@ -138,26 +138,35 @@ def literal_dimension(t):
     "s11_zone_documents",
     """WITH h AS (SELECT *, (predicted - min(predicted) OVER w) / (max(predicted) OVER w - min(predicted) OVER w + 0.001::DOUBLE) AS i
                   FROM x_bin_forecast WINDOW w AS (PARTITION BY scenario_id))
-       SELECT scenario_id, to_json({'type': 'FeatureCollection', 'hour': hour, 'dow': dow, 'features': list({'type': 'Feature',
-         'properties': {'zone': zone, 'borough': borough, 'zone_name': zone_name, 'predicted_count': round(predicted, 2),
+       SELECT scenario_id, to_json({'type': 'FeatureCollection', 'query_params': {'hour': hour, 'dow': dow, 'month': month}, 'features': list({'type': 'Feature',
+         'properties': {'zone': zone, 'borough': h.borough, 'zone_name': zone_name, 'predicted_count': round(predicted, 2),
            'normalized_intensity': round(i, 4), 'svi_score': svi_score,
-           'historical_avg_response_sec': round(coalesce(avg_response_seconds, response_default), 2)},
-         'geometry': {'type': 'Point', 'coordinates': [lon, lat]}} ORDER BY zone_ord)}) AS document
-       FROM h GROUP BY scenario_id, hour, dow""",
+           'historical_avg_response_sec': round(coalesce(avg_response_seconds, response_default), 2), 'high_acuity_ratio': round(high_acuity_ratio, 6)},
+         'geometry': {'type': 'MultiPolygon', 'coordinates': [[list_transform(range(129), lambda v: [
+            round(lon + radius_deg * cos(-(v / 128.0::DOUBLE) * 2 * pi()), 6) + 0.0, round(lat + radius_deg * sin(-(v / 128.0::DOUBLE) * 2 * pi()), 6) + 0.0])]]}}
+         ORDER BY zone_ord)}) AS document
+       FROM h JOIN (SELECT borough, radius_deg::DOUBLE AS radius_deg FROM x_boroughs) b ON b.borough = h.borough GROUP BY scenario_id, hour, dow, month""",
 )
 def zone_documents(t):
-    keys = ["scenario_id", "hour", "dow"]
+    """Scored zones with their boundary, and the parameters they were asked for."""
+    keys = ["scenario_id", "hour", "dow", "month"]
     names = dim.zones(t.spark).select("zone", "zone_name", "response_default")
+    radius = dim.boroughs(t.spark).select("borough", "radius_deg")
     avg = t.stats.select(F.col("INCIDENT_DISPATCH_AREA").alias("zone"), "avg_response_seconds")
     df = scenarios.with_intensity(t.bin_forecast, ["scenario_id"])
-    df = df.join(F.broadcast(names), "zone").join(F.broadcast(avg), "zone", "left")
+    df = df.join(F.broadcast(names), "zone").join(F.broadcast(avg), "zone", "left").join(F.broadcast(radius), "borough")
+    ring = F.transform(degree_buffer_ring(F.col("lon"), F.col("lat"), F.col("radius_deg")), lambda p: F.struct(
+        (F.round(p["lon"], 6) + 0.0).alias("lon"), (F.round(p["lat"], 6) + 0.0).alias("lat")
+    ))
     item = files.feature(
-        files.point_geometry(F.col("lon"), F.col("lat")),
+        files.ring_geometry(ring),
         "zone", "borough", "zone_name", F.round("predicted", 2).alias("predicted_count"),
         F.round("normalized_intensity", 4).alias("normalized_intensity"), "svi_score",
         F.round(F.coalesce("avg_response_seconds", "response_default"), 2).alias("historical_avg_response_sec"),
+        F.round("high_acuity_ratio", 6).alias("high_acuity_ratio"),
     )
-    docs = files.feature_collection(df, keys, F.col("zone_ord"), item, F.col("hour"), F.col("dow"))
+    asked = F.struct("hour", "dow", "month").alias("query_params")
+    docs = files.feature_collection(df, keys, F.col("zone_ord"), item, asked)
     return docs.select("scenario_id", "document")
 
 
@@ -202,15 +211,18 @@ def station_features(t):
        FULL JOIN (SELECT INCIDENT_DISPATCH_AREA AS zone, BOROUGH AS b, round(svi_score, 4) AS svi, total_incidents AS n FROM x_stats) s ON s.zone = z.zone""",
 )
 def keyed_upsert(t):
-    """Boundary dimension updated by the statistics of the zones."""
+    """Boundary dimension, partitioned by borough, updated by the statistics of the zones."""
     current = dim.zones(t.spark).select(
         "zone", "borough", "svi_score", F.lit(0).cast("long").alias("incidents")
     )
+    path = shared_dir(t.spark)
+    files.upsert_partitions(t.spark, path, current, "zone", "borough")
     changes = t.stats.select(
         F.col("INCIDENT_DISPATCH_AREA").alias("zone"), F.col("BOROUGH").alias("borough"),
         F.round("svi_score", 4).alias("svi_score"), F.col("total_incidents").alias("incidents"),
     )
-    return files.upsert(current, changes, "zone")
+    files.upsert_partitions(t.spark, path, changes, "zone", "borough")
+    return t.spark.read.parquet(path)
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,28 +14,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.clean import RAW_SCHEMA
+from ..session import work_tables
 
 US_TIMESTAMP = "MM/dd/yyyy hh:mm:ss a"
 
 
+def file_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of a CSV folder by their header: names -> paths, in the order of the paths.
+
+    One job reads the first line of every file; names and paths of files come to the driver, no data.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    # a file's first block is read by one task from its start, so its first row is the header
+    first = lines.filter("block = 0").groupBy("file").agg(F.first("value").alias("header"))
+    names = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '^\ufeff|^"|"$', "")))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in first.select("file", names.alias("names")).orderBy("file").collect():
+        out.setdefault(tuple(r["names"]), []).append(unquote(r["file"]))
+    return out
+
+
+def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str], **options: str) -> DataFrame:
+    """Text columns of files that share a header; an extra last column holds rows that do not fit it, if asked for."""
+    fields = [StructField(c, StringType()) for c in header]
+    if corrupt := options.get("columnNameOfCorruptRecord"):
+        fields.append(StructField(corrupt, StringType()))
+    # enforceSchema off: Spark compares the header of every file with the schema
+    return spark.read.schema(StructType(fields)).options(header=True, enforceSchema=False, columnPruning=False, **options).csv(paths)
+
+
 def read_incident_csv(spark: SparkSession, path: str, timestamp_format: str | None = None) -> DataFrame:
     """Header CSV with all columns as text, found by their names: files may hold more of them, in any order.
 
-    All files of ``path`` share one header. Missing columns raise an error, malformed rows are dropped, and timestamps
-    that are neither ISO nor in US form (nor in ``timestamp_format``, if given) become NULL and fall to the quality filter.
+    Files of one folder may have different headers: each header is one scan, and the scans are united by name. Missing
+    columns raise an error, malformed rows are dropped (:func:`malformed_rows` counts them), and timestamps that are
+    neither ISO nor in US form (nor in ``timestamp_format``, if given) become NULL and fall to the quality filter.
     """
     wanted = StructType.fromDDL(RAW_SCHEMA).names if isinstance(RAW_SCHEMA, str) else RAW_SCHEMA.names
-    header = spark.read.option("header", True).csv(path).columns
-    if missing := [c for c in wanted if c not in header]:
-        raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
-    schema = StructType([StructField(c, StringType()) for c in header])
-    # enforceSchema off: Spark compares the header of every file with the schema
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "DROPMALFORMED").option(
-        "columnPruning", False
-    ).csv(path)
+    headers = file_headers(spark, path)
+    for header, paths in headers.items():
+        if missing := [c for c in wanted if c not in header]:
+            raise ValueError(f"columns missing in {paths[0]}: {', '.join(missing)}")
+    if not headers:
+        raise ValueError(f"no file with a header in {path}")
+    scans = [_scan(spark, header, paths, mode="DROPMALFORMED").select(*wanted) for header, paths in headers.items()]
+    df = reduce(DataFrame.unionByName, scans)
     forms = [F.lit(timestamp_format)] if timestamp_format else [None, F.lit(US_TIMESTAMP)]
     parsed = F.coalesce(*[F.try_to_timestamp(F.col("INCIDENT_DATETIME"), *([f] if f is not None else [])) for f in forms])
-    return df.select(*wanted).withColumn("INCIDENT_DATETIME", parsed.cast("timestamp_ntz"))
+    return df.withColumn("INCIDENT_DATETIME", parsed.cast("timestamp_ntz"))
+
+
+def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rows, malformed, filled) of every CSV file: rows below the header, those that do not fit it, fields with a value."""
+    marked = [
+        _scan(spark, header, paths, mode="PERMISSIVE", columnNameOfCorruptRecord="_malformed").select(
+            F.col("_metadata.file_path").alias("file"), F.size(F.array_compact(F.array(*[F.col(f"`{c}`") for c in header]))).alias("filled"), "_malformed"
+        )
+        for header, paths in file_headers(spark, path).items()
+    ]
+    return reduce(DataFrame.unionByName, marked).groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("_malformed").alias("malformed"), F.sum("filled").alias("filled")
+    )
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -197,3 +240,34 @@ def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Insert or update by key; the newer row wins as a whole."""
     kept = current.join(changes.select(key), key, "left_anti")
     return kept.unionByName(changes.select(*current.columns))
+
+
+def upsert_partitions(spark: SparkSession, path: str, changes: DataFrame, key: str, partition: str) -> None:
+    """:func:`upsert` into a Parquet table partitioned by ``partition``, rewriting only partitions that change.
+
+    Touched are the partitions of the changes and those that still hold a changed key under another partition value; only
+    they are read, and Spark's dynamic overwrite replaces only them. The new rows are written apart first, since a
+    table cannot be overwritten by what is read from it. The last of several changes to one key is not defined: pass one.
+    A partition that loses all its rows keeps none. A table that does not exist yet is written as it comes.
+    """
+    try:
+        current = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        changes.write.partitionBy(partition).parquet(path)
+        return
+    with work_tables(spark) as write:
+        changes = write(changes.select(*current.columns))
+        old = current.join(changes.select(key), key, "left_semi").select(partition)
+        touched = write(changes.select(partition).union(old).distinct())
+        rows = current.join(F.broadcast(touched), partition, "left_semi").select(*current.columns)
+        merged = write(upsert(rows, changes, key))
+        merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        # dynamic overwrite leaves alone what gets no rows
+        emptied = touched.join(merged.select(partition).distinct(), partition, "left_anti")
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        left = spark.read.parquet(path).select(partition, folder.alias("folder")).join(F.broadcast(emptied), partition, "left_semi")
+        for r in left.select("folder").distinct().collect():
+            gone = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r["folder"]))
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
