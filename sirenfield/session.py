@@ -14,9 +14,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # exact medians run as object aggregates; the default of 128 groups per
-    # task would push every zone x hour aggregate into the sort fallback
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
 }
 
 
