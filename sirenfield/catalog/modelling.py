@@ -43,20 +43,28 @@ def top_features(t):
     return model.feature_importance(t.spark, _model(t)).limit(10)
 
 
-@query("m04_global_kmeans")
+@query(
+    "m04_global_kmeans",
+    """SELECT scenario_id, p.label, round(lat, 8) AS lat, round(lon, 8) AS lon, demand AS predicted_demand_coverage, array_to_string(zones, ',') AS zones, staging_zone
+       FROM x_city p JOIN x_city_staging s ON s.scenario_id = p.g AND s.label = p.label""",
+)
 def global_kmeans(t):
     """City-wide weighted K-Means with ten points for every observed bin."""
     points = place.staging_zones(t.bin_forecast, KEY, F.lit(10))
     return points.select(
-        KEY, "label", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"),
+        KEY, "label", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"),
         "predicted_demand_coverage", F.array_join("cluster_zones", ",").alias("zones"), "staging_zone",
     )
 
 
-@query("m05_borough_fair_placement")
+@query(
+    "m05_borough_fair_placement",
+    """SELECT scenario_id, borough, staging_index, round(lat, 8) AS lat, round(lon, 8) AS lon, predicted_demand_coverage, array_to_string(cluster_zones, ',') AS zones, zone_count
+       FROM x_placed""",
+)
 def borough_fair_placement(t):
     return t.placed.select(
-        KEY, "borough", "staging_index", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"),
+        KEY, "borough", "staging_index", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"),
         "predicted_demand_coverage", F.array_join("cluster_zones", ",").alias("zones"), "zone_count",
     )
 
@@ -141,7 +149,11 @@ def fact_whatif_fixed(t):
     return t.fact_results(t.top_staging, observed=False).select("CAD_INCIDENT_ID", "baseline_drive_sec", "staged_drive_sec", "seconds_saved")
 
 
-@query("m09_clustered_whatif")
+@query(
+    "m09_clustered_whatif",
+    """SELECT CAST(g // 7 AS INT) AS hour, CAST(g % 7 AS INT) AS dayofweek, median_seconds_saved, pct_within_8min_static, pct_within_8min_staged, coalesce(n_incidents, 0) AS n_incidents
+       FROM (SELECT unnest(range(168)) AS g) LEFT JOIN x_city_summary s ON s.hour = g // 7 AND s.dayofweek = g % 7""",
+)
 def clustered_whatif(t):
     """Per-bin summary with K-Means staging, the full published chain."""
     return impact.dense_bins(impact.bin_summary(t.fact_results(t.clustered_staging)))
@@ -156,7 +168,12 @@ def zone_whatif(t):
     return t.zone_results(t.centred).select(KEY, "zone", *[F.round(c, d).alias(c) for c, d in r.items()])
 
 
-@query("m10_fair_placement_impact")
+@query(
+    "m10_fair_placement_impact",
+    """SELECT * FROM x_fair_impact_overall UNION ALL SELECT * FROM x_fair_impact_borough UNION ALL SELECT * FROM x_fair_impact_band
+       UNION ALL SELECT scenario_id, 'svi_quartile', q, 0.0, 0.0, 0.0 FROM x_scen CROSS JOIN (SELECT unnest(['Q1', 'Q2', 'Q3', 'Q4']) AS q)
+       WHERE (scenario_id, q) NOT IN (SELECT (scenario_id, name) FROM x_fair_impact_band)""",
+)
 def fair_placement_impact(t):
     """Forecast, borough-fair placement and impact in one job over all scenarios."""
     return impact.grouped_impact(t.zone_results(t.placed), KEY)

@@ -391,6 +391,79 @@ FROM (SELECT f.scenario_id, f.zone, f.zone_ord, f.borough, f.svi_score, f.predic
       FROM x_forecast f JOIN x_zones z USING (zone) LEFT JOIN x_stats st ON st.INCIDENT_DISPATCH_AREA = f.zone
       LEFT JOIN x_drives d ON d.scenario_id = f.scenario_id AND d.zone = f.zone)"""
 
+
+def kmeans(name: str, points: str) -> dict[str, str]:
+    """Weighted K-Means of every group ``g`` of ``points`` (g, k, zone_ord, zone, w, lat, lon, predicted), round by round until no
+    centre moves: farthest-first seeds, then labels and ordered sums. ``name`` has one row per centre: g, label, lat, lon, demand, zones.
+    """
+    d2 = "(p.lat - c.lat) * (p.lat - c.lat) + (p.lon - c.lon) * (p.lon - c.lon)"
+    labelled = f"SELECT p.*, list_transform(s.centres, lambda c: {d2}) AS d, s.centres FROM {{}} s JOIN {points} p ON p.g = s.g"
+    return {
+        f"{name}_seeds": f"""
+SELECT g, any_value(k) AS k, [arg_max({{'lat': lat, 'lon': lon}}, (w, -zone_ord))] AS centres FROM {points} GROUP BY g
+UNION ALL
+SELECT g, k, centres FROM (
+  SELECT s.g, s.k, list_append(s.centres, arg_max({{'lat': p.lat, 'lon': p.lon}}, (p.w * list_min(list_transform(s.centres, lambda c: {d2})), -p.zone_ord))) AS centres
+  FROM {name}_seeds s JOIN {points} p ON p.g = s.g WHERE len(s.centres) < s.k GROUP BY s.g, s.k, s.centres)""",
+        f"{name}_rounds": f"""
+SELECT g, 0 AS round, centres FROM {name}_seeds WHERE len(centres) = k
+UNION ALL
+SELECT g, round, centres FROM (
+  SELECT g, round + 1 AS round, centres AS was,
+         list_transform(range(len(centres)), lambda j: coalesce(map_from_entries(list((label, centre)))[j + 1], centres[j + 1])) AS centres
+  FROM (
+    SELECT g, round, centres, label,
+           {{'lat': sum(w * lat ORDER BY zone_ord) / sum(w ORDER BY zone_ord), 'lon': sum(w * lon ORDER BY zone_ord) / sum(w ORDER BY zone_ord)}} AS centre
+    FROM (SELECT g, round, centres, list_position(d, list_min(d)) AS label, w, lat, lon, zone_ord
+          FROM (SELECT s.round, x.* FROM ({labelled.format(name + '_rounds')}) x JOIN {name}_rounds s ON s.g = x.g))
+    GROUP BY g, round, centres, label)
+  GROUP BY g, round, centres) WHERE centres <> was""",
+        name: f"""
+SELECT g, label - 1 AS label, any_value(centres)[label].lat AS lat, any_value(centres)[label].lon AS lon, round(sum(predicted ORDER BY zone_ord), 2) AS demand,
+       list_sort(list(zone)) AS zones
+FROM (SELECT *, list_position(d, list_min(d)) AS label FROM ({labelled.format(f"(SELECT g, arg_max(centres, round) AS centres FROM {name}_rounds GROUP BY g)")}))
+GROUP BY g, label""",
+    }
+
+
+CTES["x_bin_points"] = """
+SELECT scenario_id AS g, 10 AS k, zone_ord, zone, greatest(predicted, 0.01::DOUBLE) AS w, lat, lon, predicted FROM x_bin_forecast"""
+CTES |= kmeans("x_city", "x_bin_points")
+
+CTES["x_city_staging"] = """
+SELECT p.g AS scenario_id, p.label, arg_min(z.zone, ((z.lat - p.lat) * (z.lat - p.lat) + (z.lon - p.lon) * (z.lon - p.lon), z.zone_ord)) AS staging_zone
+FROM x_city p CROSS JOIN x_zones z GROUP BY ALL"""
+
+# boroughs by demand, and one cluster after another to the highest quotient of demand and clusters held
+CTES["x_ranks"] = """
+SELECT scenario_id, borough, demand, n_zones, ambulances, row_number() OVER (PARTITION BY scenario_id ORDER BY demand DESC, first_ord) AS place,
+       count(*) OVER (PARTITION BY scenario_id) AS n
+FROM (SELECT scenario_id, borough, any_value(ambulances) AS ambulances, sum(predicted ORDER BY zone_ord) AS demand, min(zone_ord) AS first_ord, count(*) AS n_zones
+      FROM x_forecast GROUP BY scenario_id, borough)"""
+CTES["x_bids"] = """
+SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY demand / j DESC, place, j) AS turn
+FROM (SELECT *, unnest(range(1, ambulances - n + 1)) AS j FROM x_ranks WHERE ambulances > n)"""
+CTES["x_held"] = """
+SELECT r.scenario_id, r.borough, n_zones, CASE WHEN ambulances >= n OR place <= ambulances THEN 1 ELSE 0 END + coalesce(won, 0) AS clusters
+FROM x_ranks r LEFT JOIN (SELECT scenario_id, borough, count(*) AS won FROM x_bids WHERE turn <= ambulances - n GROUP BY ALL) b
+  ON b.scenario_id = r.scenario_id AND b.borough = r.borough"""
+CTES["x_fair_points"] = """
+SELECT f.scenario_id || '#' || f.borough AS g, least(clusters, n_zones) AS k, zone_ord, zone, greatest(predicted, 0.01::DOUBLE) AS w, lat, lon, predicted
+FROM x_forecast f JOIN x_held h ON h.scenario_id = f.scenario_id AND h.borough = f.borough WHERE clusters > 0"""
+CTES |= kmeans("x_fair", "x_fair_points")
+CTES["x_placed"] = """
+SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY predicted_demand_coverage DESC, lat, lon) - 1 AS staging_index
+FROM (SELECT split_part(g, '#', 1) AS scenario_id, split_part(g, '#', 2) AS borough, label, lat, lon, demand AS predicted_demand_coverage, zones AS cluster_zones,
+             len(zones) AS zone_count FROM x_fair)"""
+
+# the what-ifs over these placements
+CTES["x_city_bins"] = "SELECT hour, dow AS dayofweek, staging_zone FROM x_city_staging JOIN x_bin_scen USING (scenario_id)"
+CTES["x_city_staged"] = CTES["x_staged"].replace("x_top_staging", "x_city_bins")
+CTES["x_city_whatif"] = CTES["x_whatif"].replace("x_staged", "x_city_staged")
+CTES["x_city_summary"] = CTES["x_bin_summary"].replace("x_whatif", "x_city_whatif")
+CTES["x_fair_drives"] = CTES["x_drives"].replace("x_centred", "x_placed")
+CTES["x_fair_whatif"] = CTES["x_zone_whatif"].replace("x_drives", "x_fair_drives")
+
 CTES["x_scored"] = f"""
 SELECT *, {share_within('static_time')} AS static_share, {share_within('staged_time')} AS staged_share, {COPIES} AS copies,
        {BAND.format('svi_score')} AS svi_quartile
@@ -402,19 +475,21 @@ def weighted_median(value: str, copies: str, keys: str, source: str) -> str:
     return f"SELECT {keys}, median({value}) AS m FROM (SELECT {keys}, {value}, unnest(range({copies})) FROM {source}) GROUP BY {keys}"
 
 
-def _impact(scope: str, name: str, keys: str) -> str:
+def _impact(scope: str, name: str, scored: str = "x_scored") -> str:
     total = "CASE WHEN sum(demand) < 0.01 THEN 1 ELSE sum(demand) END"
     return f"""
 SELECT a.scenario_id, '{scope}' AS scope, a.name, round(s, 1) AS pct_static, round(g, 1) AS pct_staged, round(m, 1) AS median_saved_sec
 FROM (SELECT scenario_id, {name} AS name, sum(demand * static_share) / {total} * 100 AS s, sum(demand * staged_share) / {total} * 100 AS g
-      FROM x_scored GROUP BY ALL) a
-JOIN ({weighted_median('seconds_saved', 'copies', 'scenario_id, name', f'(SELECT *, {name} AS name FROM x_scored)')}) b
+      FROM {scored} GROUP BY ALL) a
+JOIN ({weighted_median('seconds_saved', 'copies', 'scenario_id, name', f'(SELECT *, {name} AS name FROM {scored})')}) b
   ON a.scenario_id = b.scenario_id AND a.name = b.name"""
 
 
-CTES["x_impact_overall"] = _impact("overall", "'all'", "")
-CTES["x_impact_borough"] = _impact("borough", "borough", "borough")
-CTES["x_impact_band"] = _impact("svi_quartile", "svi_quartile", "svi_quartile")
+CTES["x_fair_scored"] = CTES["x_scored"].replace("x_zone_whatif", "x_fair_whatif")
+for _prefix, _scored in (("x_impact", "x_scored"), ("x_fair_impact", "x_fair_scored")):
+    CTES[f"{_prefix}_overall"] = _impact("overall", "'all'", _scored)
+    CTES[f"{_prefix}_borough"] = _impact("borough", "borough", _scored)
+    CTES[f"{_prefix}_band"] = _impact("svi_quartile", "svi_quartile", _scored)
 
 CTES["x_zone_zips"] = f"""
 SELECT * FROM (VALUES {_values([(dim.ZONE_CODES.index(z), z, p) for z, zips in dim.ZONE_ZIPS.items() for p in zips])})
@@ -433,10 +508,12 @@ LEFT JOIN x_stats s ON s.INCIDENT_DISPATCH_AREA = b.INCIDENT_DISPATCH_AREA"""
 def oracle(select: str) -> str:
     """The select with every expression it needs, in dependency order."""
     order: list[str] = []
+    open_: set[str] = set()
 
     def need(text: str) -> None:
         for name in re.findall(r"\bx_[a-z_]+\b", text):
-            if name in CTES and name not in order:
+            if name in CTES and name not in order and name not in open_:
+                open_.add(name)
                 need(CTES[name])
                 if name not in order:
                     order.append(name)
@@ -446,9 +523,11 @@ def oracle(select: str) -> str:
     if not order:
         return select
     # inputs are shared by several parts of a select; computing each once keeps DuckDB quick
-    head = "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
+    # (a recursive one names itself and cannot be marked so)
+    parts = [f"{n} AS ({CTES[n]})" if re.search(rf"\b{n}\b", CTES[n]) else f"{n} AS MATERIALIZED ({CTES[n]})" for n in order]
+    head = ("WITH RECURSIVE " if any("MATERIALIZED" not in p.split("(", 1)[0] for p in parts) else "WITH ") + ",\n".join(parts)
     for opening, recursive in (("WITH RECURSIVE ", True), ("WITH ", False)):
         if select.startswith(opening):
-            head = head.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else head
+            head = head.replace("WITH ", "WITH RECURSIVE ", 1) if recursive and not head.startswith("WITH RECURSIVE") else head
             return head + ",\n" + select[len(opening):]
     return head + "\n" + select
