@@ -123,7 +123,9 @@ _LETTER, _DIGIT, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\
 _KNOWN = "[\t\n\r -~\xa0-ɏ]*"
 _PIECE = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_BLANK}{_LETTER}{_DIGIT}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 #: pieces that a task remembers, and those encoded in one text (longer texts take longer a piece)
-MAX_PIECES, LINES = 1_000_000, 1_000
+MAX_PIECES, LINES = 400_000, 1_000
+#: documents whose pieces are held together
+AT_ONCE = 128
 
 
 class Encoder:
@@ -190,8 +192,8 @@ def _encode(folder: str, tokenizer: str, end_id: int):
         # a retried or doubled attempt writes a file of its own; only the one that Spark commits is in the manifest
         name = f"{folder}/ids-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
                 if not part.num_rows:
                     continue
                 if encoder is None:
