@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .common import stage, text_of, width
+from .common import kept_by_worker, stage, text_of, width
 
 FRAME_DOCS, FRAME_IDS = 1_024, 1 << 17
 SKIPPABLE, MAGIC = 0x184D2A5E, 0x544F4B53
@@ -178,8 +179,12 @@ class Encoder:
         if new:
             self._learn(list(new))
         slow = iter(self._whole([t for t, f in zip(texts, fast) if not f]))
-        ids = held.__getitem__
-        return [b"".join(map(ids, p)) if f else next(slow) for p, f in zip(parts, fast)]
+        return [_joined(held, p) if f else next(slow) for p, f in zip(parts, fast)]
+
+
+def _joined(held: dict[str, bytes], parts: list[str]) -> bytes:
+    # one lookup of all parts is quicker than one for each, but takes two at least
+    return b"".join(itemgetter(*parts)(held)) if len(parts) > 1 else b"".join(map(held.__getitem__, parts))
 
 
 def _encode(folder: str, tokenizer: str, end_id: int):
@@ -197,7 +202,7 @@ def _encode(folder: str, tokenizer: str, end_id: int):
                 if not part.num_rows:
                     continue
                 if encoder is None:
-                    encoder = Encoder(tokenizer)
+                    encoder = kept_by_worker(("Encoder", tokenizer), lambda: Encoder(tokenizer))
                     store, path = _store(name)
                     store.create_dir(path.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(path, compression=None)
