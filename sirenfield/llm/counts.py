@@ -18,6 +18,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import kept_by_worker, text_of
 
 #: units and pairs of tokens that a task remembers, and the longest unit among them
 MAX_UNITS, MAX_PAIRS, MAX_UNIT = 400_000, 1_000_000, 256
@@ -170,8 +171,16 @@ class PrefixCounter:
         """Changes at every character of a text whose added tokens, if any, count as ordinary text."""
         if not _KNOWN.fullmatch(text):
             return self._by_library(text)
-        held = self.units.get
-        return b"".join([held(u) or self._changes(u) for u in _UNIT.findall(text)])
+        units = _UNIT.findall(text)
+        for u in set(units).difference(self.units):
+            if len(u) <= MAX_UNIT:
+                self._changes(u)
+        if len(units) > 1 and max(map(len, units)) <= MAX_UNIT:
+            try:
+                return b"".join(itemgetter(*units)(self.units))
+            except KeyError:  # the memory was cleared on the way
+                pass
+        return b"".join([self.units.get(u) or self._changes(u) for u in units])
 
     def _by_library(self, text: str) -> bytes:
         """The same for characters whose class the unit pattern does not know: stretches between blanks, prefix by prefix.
@@ -239,7 +248,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, budget: int | None = None) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                counter = counter or PrefixCounter(tokenizer)
+                counter = counter or kept_by_worker(("PrefixCounter", tokenizer), lambda: PrefixCounter(tokenizer))
                 texts = part.column("text").to_pylist()
                 if counter.by_prefix:
                     changes = [counter.changes(t) for t in texts]
