@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import kept_by_worker, text_of
 
 #: units and pairs of tokens that a task remembers, and the longest unit among them
-MAX_UNITS, MAX_PAIRS, MAX_UNIT = 400_000, 1_000_000, 256
+MAX_UNITS, MAX_PAIRS, MAX_UNIT = 1_000_000, 1_000_000, 256
 # characters whose classes are the same in every Unicode version
 _LETTER, _DIGIT, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r\xa0"
 _OTHER = f"[^{_BLANK}{_LETTER}{_DIGIT}]"
