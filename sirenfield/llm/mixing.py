@@ -85,8 +85,7 @@ def mix(
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with its columns unchanged."""
-    hidden = docs.select("*", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)])
-    kept = [f"_c{i}" for i in range(len(docs.columns))]
-    taken = mix(hidden, kept, **options)
-    out = taken.where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    # one column holds the whole row, beside the three that the mix reads: no name of another can clash
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
+    taken = mix(whole, ["row"], **options).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
