@@ -1,5 +1,6 @@
 """Each operator against a plain re-statement, and on null, empty, repeated and clashing rows."""
 
+import base64
 import hashlib
 import random
 import re
@@ -216,6 +217,9 @@ def test_mixing_edges(docs, empty, odd):
     assert mixing.mix(odd, ["doc_id", "size", "taken"]).count() == 5
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns and mixed.select("size").distinct().collect()[0][0] == "x"
+    clashing = ["_c0", "_c1", "_k0", "copies", "_n", "_bucket", "target"]
+    named = docs.select("doc_id", "source", "text", *[F.lit(c).alias(c) for c in clashing])
+    assert mixing.mixed_rows(named).columns == named.columns and mixing.mixed_rows(named).first()["_c0"] == "_c0"
     counts = {r.doc_id: r.copies for r in mixing.mix(docs.dropDuplicates(), ["doc_id"]).collect()}
     assert Counter(r.doc_id for r in mixing.mixed_rows(docs.dropDuplicates()).collect()) == Counter(counts)
 
@@ -288,6 +292,46 @@ def test_markov_on_held_out_strings(spark):
     assert len(hit & set(range(200))) >= 196 and len(hit - set(range(200))) <= 4
 
 
+def test_markov_knows_identifiers(spark):
+    """Names as programs write them are ordinary; strings drawn at random are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    weights = secrets.train(secrets.labelled_strings(docs))
+    names = [
+        "getUserProfileByEmailAddress", "com/example/service/HttpClient", "AbstractSingletonProxyFactoryBean", "MAX_RETRY_COUNT_BEFORE_FAIL",
+        "user_account_balance_2023", "https/www/example/articles/archive", "calculate-total-amount-due", "application/vnd/openxmlformats",
+        "internationalization", "background_color_default_value",
+    ]
+    draw = random.Random(7)
+    drawn = [base64.b64encode(draw.randbytes(24)).decode() for _ in range(200)] + ["".join(draw.choices(secrets.ALPHABET[:62], k=32)) for _ in range(200)]
+    rows = spark.createDataFrame([(i, f"a {s} b") for i, s in enumerate(names + drawn)], "doc_id long, text string")
+    hit = {r.doc_id for r in secrets.scan(rows, weights).where("size(markov) = 1").select("row.doc_id").collect()}
+    assert not hit & set(range(len(names))) and len(hit) >= 0.98 * len(drawn)
+
+
+def test_tokens_that_base_spans_touch(spark):
+    """The sweep against every pair; spans of different kinds overlap."""
+    draw = random.Random(5)
+    rows, want = [], []
+    for i in range(60):
+        tokens, at = [], 0
+        for _ in range(draw.randint(0, 300 if i < 3 else 9)):
+            at += draw.randint(1, 12)
+            tokens.append((at, 3, at + draw.randint(1, 9), "t"))
+            at = tokens[-1][2]
+        base = [(a, draw.randrange(3), a + draw.randint(1, 25), "b") for a in (draw.randrange(at + 9) for _ in range(draw.randint(0, 200 if i < 3 else 6)))]
+        rows.append((i, tokens, base))
+        want.append([t[:3] for t in tokens if not any(b[0] < t[2] and t[0] < b[2] for b in base)])
+    df = spark.createDataFrame(rows, f"i int, tokens {secrets._SPAN}, base {secrets._SPAN}")
+    got = {r.i: [tuple(t)[:3] for t in r.free] for r in df.select("i", secrets._untouched(F.col("tokens"), F.col("base")).alias("free")).collect()}
+    assert [got[i] for i in range(60)] == want
+
+
+def test_secrets_of_a_text_with_many(spark):
+    text = "".join(f"token=abcdefghijkl{i:06d} " for i in range(20_000))
+    r = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), [0.0] * secrets._WIDTH**2).first()
+    assert [(s.start, s.end) for s in r.assign] == [(25 * i, 25 * i + 24) for i in range(20_000)] and r.markov == []
+
+
 def test_secrets_edges(empty, odd):
     assert secrets.scan(empty, secrets.train(secrets.labelled_strings(empty))).count() == 0
     assert secrets.scan(odd, secrets.train(secrets.labelled_strings(odd))).count() == 5
