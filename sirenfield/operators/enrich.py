@@ -120,12 +120,11 @@ def transit_monthly(feed: DataFrame, month: str, count: str) -> DataFrame:
         .groupBy(F.year("m").alias("year"), F.month("m").alias("month_num"))
         .agg(F.sum("n").alias("monthly_subway_incidents"))
     )
-    # months, not facts: one ordered-by-nothing window over a few hundred rows
-    everything = Window.partitionBy(F.lit(0))
-    lo, hi = (f("monthly_subway_incidents").over(everything) for f in (F.min, F.max))
-    return monthly.withColumn(
-        "subway_disruption_idx", (F.col("monthly_subway_incidents") - lo) / (hi - lo + 1e-9)
-    )
+    # the range is one row
+    span = monthly.agg(F.min("monthly_subway_incidents").alias("_lo"), F.max("monthly_subway_incidents").alias("_hi"))
+    return monthly.join(F.broadcast(span), F.lit(True)).withColumn(
+        "subway_disruption_idx", (F.col("monthly_subway_incidents") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9)
+    ).drop("_lo", "_hi")
 
 
 def fill(df: DataFrame, defaults: dict) -> DataFrame:
