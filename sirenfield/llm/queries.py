@@ -115,7 +115,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), lines.MIN_LINES, lines.MIN_WORDS)
     return cut.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -124,14 +124,16 @@ WITH split AS (
   SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS x
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 ), worded AS (
-  SELECT doc_id, pos, x, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line
+  SELECT doc_id, pos, x, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
   FROM split WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
 ), windows AS (
-  SELECT doc_id, line, x || chr(10) || lead(x, 1) OVER w || chr(10) || lead(x, 2) OVER w AS run FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+  SELECT doc_id, line, size, array_to_string([x, y, z][1 : size], chr(10)) AS run
+  FROM (SELECT doc_id, line, x, lead(x, 1) OVER w AS y, lead(x, 2) OVER w AS z, n, lead(n, 1) OVER w AS m FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY line)), (VALUES (1), (2), (3)) s(size)
+  WHERE (size = 1 AND n >= 50) OR (size = 2 AND n + m >= 50) OR (size = 3 AND z IS NOT NULL)
 ), placed AS (
-  SELECT doc_id, line, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS i FROM windows WHERE run IS NOT NULL
+  SELECT doc_id, line, size, row_number() OVER (PARTITION BY size, run ORDER BY doc_id, line) AS i FROM windows
 ), gone AS (
-  SELECT DISTINCT doc_id, line + d AS line FROM placed, (VALUES (0), (1), (2)) v(d) WHERE i > 1
+  SELECT DISTINCT doc_id, line + d AS line FROM placed, (VALUES (0), (1), (2)) v(d) WHERE i > 1 AND d < size
 ), marked AS (
   SELECT s.doc_id, s.pos, s.x, w.line IS NOT NULL AS has_word, g.line IS NOT NULL AS dropped,
          g.line IS NOT NULL AND h.line IS NULL AS begins
