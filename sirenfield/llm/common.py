@@ -57,6 +57,23 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with a written ``table`` that has one row per key, and in ``count`` how many rows bear it.
+
+    Keys of over a thousandth of these rows, at most a thousand of them therefore, go to every task; their rows are dealt
+    by a hash of themselves instead of their key, so that no key gathers in one task. ``keys[0]`` is a long.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    brought = F.struct(*[c for c in table.columns if c not in keys])
+    often = F.col(count) > total / 1000
+    marked = rows.join(F.broadcast(table.where(often).select(*keys, brought.alias("_hot"))), keys, "left")
+    hot = F.col("_hot").isNotNull()
+    dealt = marked.withColumn("_key", F.when(hot, F.xxhash64(*[F.col(c) for c in rows.columns])).otherwise(F.col(keys[0])))
+    cold = table.where(~often).select(F.col(keys[0]).alias("_key"), *keys[1:], brought.alias("_cold"))
+    both = dealt.join(cold, ["_key", *keys[1:]], "left").where(hot | F.col("_cold").isNotNull())
+    return both.select(*rows.columns, F.coalesce("_hot", "_cold").alias("_b")).select(*rows.columns, "_b.*")
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once per row, also where ``use`` names it inside a lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_where, n_words, stage, text_of
+from .common import join_counted, keep_where, n_words, stage, text_of
 
 MIN_LINES = 3
 #: a shorter run goes as well if it has so many words
@@ -24,12 +24,14 @@ def _ahead(column: str, n: int) -> Column:
 
 
 def _repeated(names: DataFrame) -> DataFrame:
-    """The positions whose name occurs twice or more; a unique suffix cannot be part of a repeat and leaves the sort.
+    """The positions whose name occurs twice or more, with the ``first`` place that has it; a unique suffix cannot be part of
+    a repeat and leaves the sort.
 
-    Counts are combined before the shuffle, and a name that a third of all lines bear is joined by split partitions.
+    Counts and first places are combined before the shuffle, and a name that a third of all lines bear is dealt over all tasks.
     """
-    often = names.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r1", "r2")
-    return names.join(often, ["r1", "r2"], "left_semi")
+    place = F.struct("doc_id", "h", "line")
+    often = names.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    return join_counted(names, stage(often, "names"), ["r1", "r2"]).drop("n")
 
 
 def positions(docs: DataFrame, counted: bool = False) -> DataFrame:
@@ -50,7 +52,8 @@ def positions(docs: DataFrame, counted: bool = False) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
-    """Lines where a window of ``min_lines`` lines starts that occurs more than once: (doc_id, h, line, r1, r2, size).
+    """Lines where a window of ``min_lines`` lines starts that occurs more than once, and where it does so first: (doc_id, h,
+    line, size, first).
 
     The windows are the intervals of the suffix array whose longest common prefix reaches ``min_lines``. Each round doubles
     the depth: the name of a suffix at depth 2d is made of its name at d and that of the suffix d lines on. Suffixes with
@@ -64,7 +67,7 @@ def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int
     shorter = []
     while depth < min_lines:
         if counted:
-            shorter.append(now.where(F.col("w") >= min_words).select("doc_id", "h", "line", "r1", "r2", F.lit(depth).alias("size")))
+            shorter.append(now.where(F.col("w") >= min_words).select("doc_id", "h", "line", F.lit(depth).alias("size"), "first"))
         step = 1 if counted else min(depth, min_lines - depth)
         words = [_ahead("w", step).alias("nw"), "own"] if counted else []
         both = now.select("doc_id", "h", "line", "r1", "r2", _ahead("r1", step).alias("n1"), _ahead("r2", step).alias("n2"), *words)
@@ -72,7 +75,7 @@ def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int
         words = ["own", (F.col("own") + F.col("nw")).alias("w")] if counted else []
         joined = both.where("n1 is not null").select("doc_id", "h", "line", r1.alias("r1"), r2.alias("r2"), *words)
         now, depth = stage(_repeated(joined), "suffixes"), depth + step
-    found = now.select("doc_id", "h", "line", "r1", "r2", F.lit(min_lines).alias("size"))
+    found = now.select("doc_id", "h", "line", F.lit(min_lines).alias("size"), "first")
     for more in shorter:
         found = found.union(more)
     return found
@@ -84,9 +87,7 @@ def later_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | No
     Earlier: a smaller doc_id (null first, then by text hash), or an earlier line of the same document.
     """
     windows = repeated_windows(docs, min_lines, min_words)
-    first = windows.groupBy("size", "r1", "r2").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"))
-    place = F.struct("doc_id", "h", "line")
-    later = windows.join(first, ["size", "r1", "r2"]).where(place > F.col("first")).select("doc_id", "h", "line", "size")
+    later = windows.where(F.struct("doc_id", "h", "line") > F.col("first")).select("doc_id", "h", "line", "size")
     covered = later.select("doc_id", "h", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("size") - 1)).alias("line")).distinct()
     gone = covered.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("gone"))
     begins = F.filter("gone", lambda x, k: ~F.coalesce(F.get("gone", k - 1) == x - 1, F.lit(False)))
