@@ -564,3 +564,28 @@ def test_quality_edges(spark, docs, empty, odd):
     assert quality.filter_quality(empty, labels).count() == 0
     assert quality.judge(odd, quality.fit_ratio(odd, labels)).where("kept").count() == 0
     assert quality.filter_quality(docs, labels.limit(0)).columns == docs.columns
+
+
+# ---- shared -------------------------------------------------------------------------------------
+
+
+def test_join_with_a_hot_key(spark):
+    """One key holds a third of the rows: the join is whole, and its rows are dealt over the tasks."""
+    from sirenfield.llm.common import join_counted
+
+    n = 30_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"), (F.col("id") % 2).alias("j"), "id")
+    table = rows.groupBy("k", "j").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("k % 2 = 1")
+    got = join_counted(rows, table, ["k", "j"])
+    want = rows.join(table, ["k", "j"]).select("k", "j", "id", "n", "least")
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():  # as for tables that are not small
+        spark.conf.set(key, value)
+    try:
+        tasks = [r["count"] for r in join_counted(rows, table, ["k", "j"]).where("k = 7").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert sum(tasks) == want.where("k = 7").count() and max(tasks) < 0.6 * sum(tasks)
+    assert join_counted(rows.limit(0), table, ["k", "j"]).count() == join_counted(rows, table.limit(0), ["k", "j"]).count() == 0
