@@ -167,7 +167,8 @@ def settle(grouped: DataFrame, keep: list[str], rounds: int = ROUNDS, passes: in
     A pass writes its states; those that have not settled go on from there in the next pass.
     """
     with work_tables(grouped.sparkSession) as write:
-        state = write(grouped.select(*keep, lloyd(F.col("points"), F.col("k"), rounds).alias("state")))
+        # the first pass settles nearly all, so its table is the result unless some are left
+        state = write(grouped.select(*keep, lloyd(F.col("points"), F.col("k"), rounds).alias("state")), keep=True)
         done = []
         for _ in range(passes - 1):
             open_rows = state.filter(~F.col("state.settled"))
@@ -175,7 +176,7 @@ def settle(grouped: DataFrame, keep: list[str], rounds: int = ROUNDS, passes: in
                 break
             done.append(state.filter("state.settled"))
             state = write(open_rows.select(*keep, _iterate(F.col("state"), 1, rounds).alias("state")))
-        return write(reduce(DataFrame.unionByName, [*done, state]), keep=True)
+        return write(reduce(DataFrame.unionByName, [*done, state]), keep=True) if done else state
 
 
 def _clusters(grouped: DataFrame, keep: list[str], rounds: int) -> DataFrame:
