@@ -203,14 +203,14 @@ def borough_breakdown(t):
 
 @query(
     "a17_hourly_profile",
-    """SELECT z.zone AS zone, CAST(h AS INT) AS slot, round(s.avg_response_seconds, 3) AS avg_response_seconds, coalesce(round(v, 2), 0.0) AS hourly_avg
+    """SELECT z.zone AS zone, CAST(h AS INT) AS slot, round(s.avg_response_seconds, 6) AS avg_response_seconds, coalesce(round(v, 2), 0.0) AS hourly_avg
        FROM x_zones z JOIN x_stats s ON s.INCIDENT_DISPATCH_AREA = z.zone CROSS JOIN (SELECT unnest(range(24)) AS h)
        LEFT JOIN (SELECT INCIDENT_DISPATCH_AREA AS zone, hour, avg(zone_baseline_avg) AS v FROM x_baselines GROUP BY ALL) b ON b.zone = z.zone AND b.hour = h""",
 )
 def hourly_profile(t):
     df = agg.hourly_profile(t.stats, t.baselines)
     return df.select(
-        F.col("INCIDENT_DISPATCH_AREA").alias("zone"), F.round("avg_response_seconds", 3).alias("avg_response_seconds"),
+        F.col("INCIDENT_DISPATCH_AREA").alias("zone"), F.round("avg_response_seconds", 6).alias("avg_response_seconds"),
         F.posexplode("hourly_avg").alias("slot", "hourly_avg"),
     )
 

@@ -8,7 +8,6 @@ import uuid
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -89,6 +88,11 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class VersionedTable:
     """A table that is replaced as a whole while readers keep a consistent view.
 
@@ -112,12 +116,7 @@ class VersionedTable:
 
     def _claim(self) -> int:
         """A version number of one's own: the file that stands for it can be created once only."""
-        try:
-            last = self._entries().agg(F.max("seq")).first()[0] or 0
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":  # anything else must not pass for a first version
-                raise
-            last = 0
+        last = (self._entries().agg(F.max("seq")).first()[0] or 0) if _exists(self.spark, self.log) else 0
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         while not fs.createNewFile(path(f"{self.path}/claims/{last + 1}")):
@@ -250,13 +249,10 @@ def upsert_partitions(spark: SparkSession, path: str, changes: DataFrame, key: s
     table cannot be overwritten by what is read from it. The last of several changes to one key is not defined: pass one.
     A partition that loses all its rows keeps none. A table that does not exist yet is written as it comes.
     """
-    try:
-        current = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not _exists(spark, path):
         changes.write.partitionBy(partition).parquet(path)
         return
+    current = spark.read.parquet(path)
     with work_tables(spark) as write:
         changes = write(changes.select(*current.columns))
         old = current.join(changes.select(key), key, "left_semi").select(partition)
