@@ -37,6 +37,7 @@ def zone_phrase(zone: Column, borough: Column, count: Column) -> Column:
 
 def briefing(hour, dow, weather, ambulances, zone_phrases, pct_static, pct_staged, saved) -> Column:
     """Four-line scenario summary; missing figures read N/A."""
+    # fixed values: the wording of the four lines
     zones = F.when(F.size(zone_phrases) > 0, F.array_join(F.slice(zone_phrases, 1, 5), ", "))
     na = F.lit("N/A")
     head = F.concat(
