@@ -55,8 +55,9 @@ def _assembled(df: DataFrame) -> DataFrame:
 def train(
     frame: DataFrame, trees: int = 300, depth: int = 6, step: float = 0.05, sample: float = 0.8, seed: int = 42, patience: int = 20,
 ) -> GBTRegressionModel:
-    """Boosted regression trees on ``incident_count``, grown once. The error on the test rows after each round decides how
-    many of them stay: those up to the best round, once ``patience`` rounds bring no gain.
+    """Boosted regression trees on ``incident_count``. The error on the test rows after each round decides how many of them
+    stay: those up to the best round, once ``patience`` rounds bring no gain. A round's draws follow from the seed and its
+    number alone, so fewer rounds grow the first of the same trees: ``trees`` are grown only if no shorter run settles it.
 
     Bins should have the grain of their baseline, a date's hour (``zone_bins`` with ``incident_date``): a monthly bin sums
     several dates, and trees that learn such sums miss single dates by as much.
@@ -67,12 +68,27 @@ def train(
     # a tree is a few short jobs; tasks of few rows would cost more than they do
     data = cut_lineage(data)
     data = data.coalesce(max(1, min(data.rdd.getNumPartitions(), 1 + data.count() // ROWS_PER_TASK)))
-    full = GBTRegressor(
-        maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=sample, featureSubsetStrategy=str(sample), seed=seed,
+    grower = GBTRegressor(
+        maxDepth=depth, stepSize=step, subsamplingRate=sample, featureSubsetStrategy=str(sample), seed=seed,
         checkpointInterval=20, maxMemoryInMB=1024, cacheNodeIds=False,
-    ).fit(data.where("not holdout"))
-    holdout = data.where("holdout")
-    return full if holdout.isEmpty() else first_trees(full, best_round(full.evaluateEachIteration(holdout, "squared"), patience))
+    )
+    learnt, holdout = data.where("not holdout"), data.where("holdout")
+    if holdout.isEmpty():
+        return grower.setMaxIter(trees).fit(learnt)
+    for rounds in run_lengths(trees, patience):
+        grown = grower.setMaxIter(rounds).fit(learnt)
+        best = best_round(grown.evaluateEachIteration(holdout, "squared"), patience)
+        if rounds == trees or best + patience <= rounds:
+            return first_trees(grown, best)
+
+
+def run_lengths(trees: int, patience: int) -> list[int]:
+    """Rounds of the runs to try, each three times as long as the one before, so that all of them together take at most
+    half as long again as the last; the last has ``trees`` rounds."""
+    lengths = [trees]
+    while lengths[0] // 3 > max(patience, 0):
+        lengths.insert(0, lengths[0] // 3)
+    return lengths
 
 
 def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:

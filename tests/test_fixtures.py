@@ -187,6 +187,32 @@ def test_first_trees_are_a_prefix(by_date):
         assert part.predict(r.features) == pytest.approx(sum(w * t.predict(r.features) for w, t in zip(full.treeWeights[:3], full.trees[:3])))
 
 
+def test_no_more_trees_are_grown_than_settle_it(by_date, monkeypatch):
+    """A short run that settles ends the growing, and its trees are those of the whole run; without test rows all grow."""
+    frame, _ = by_date
+    frame, asked = model.leave_own_date_out(frame), []
+
+    class Watched(model.GBTRegressor):
+        def fit(self, data):
+            asked.append(self.getMaxIter())
+            return super().fit(data)
+
+    monkeypatch.setattr(model, "GBTRegressor", Watched)
+    options = dict(trees=30, depth=3, step=0.5, patience=3)
+    fitted = model.train(frame, **options)
+    assert max(asked) < 30 and fitted.getNumTrees + 3 <= max(asked)
+    monkeypatch.setattr(model, "run_lengths", lambda trees, patience: [trees])
+    whole = model.train(frame, **options)
+    assert asked[-1] == 30 and whole.treeWeights == fitted.treeWeights
+    assert [t.toDebugString.split("\n", 1)[1] for t in whole.trees] == [t.toDebugString.split("\n", 1)[1] for t in fitted.trees]
+    assert model.train(frame.filter("split = 'train'"), **{**options, "trees": 5}).getNumTrees == 5
+
+
+def test_run_lengths():
+    assert model.run_lengths(300, 20) == [33, 100, 300]
+    assert model.run_lengths(20, 20) == [20] and model.run_lengths(1, 0) == [1]
+
+
 def test_quiet_monday_is_one_scenario(spark):
     quiet = dim.scenario_presets(spark).filter("scenario = 'monday_quiet'").withColumnRenamed("scenario", "scenario_id")
     base = spark.createDataFrame([("B1", 4, 0, 1.5)], "INCIDENT_DISPATCH_AREA string, hour int, dayofweek int, zone_baseline_avg double")
