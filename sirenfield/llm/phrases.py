@@ -27,6 +27,8 @@ CHUNK = 8 << 20
 #: bits of a filter per partition, and the largest filter (16 MB)
 BITS_EACH, MAX_BITS = 16, 1 << 27
 ROWS_OUT = 1 << 17
+#: bytes of text that are split into words at a time, and windows that are looked up at a time
+SPLIT, LOOKED_UP = 1 << 20, 1 << 18
 # lower case for A-Z, one blank, one mark between pieces; a mark is never part of a word
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
 _MARK = b"."
@@ -117,6 +119,16 @@ def _slices(folded: bytes, depth: int) -> Iterator[tuple[bytes, bytes]]:
     yield folded[at:], b""
 
 
+def _split(folded: bytes) -> Iterator[list[bytes]]:
+    """The words of every ``SPLIT`` bytes or a little more; a cut lies between words."""
+    at = 0
+    while at < len(folded):
+        cut = folded.find(b" ", at + SPLIT)
+        cut = len(folded) if cut < 0 else cut
+        yield folded[at:cut].split()
+        at = cut
+
+
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = out = len(self)
@@ -125,13 +137,12 @@ class _Ids(dict):
 
 def _partitions(lang: str, own: bytes, ahead: bytes, depth: int, known: Filter | None) -> Iterator[pa.RecordBatch]:
     """Equal partitions of the suffixes that start in ``own``, to ``depth``."""
-    listed = own.split()
-    n_own = len(listed)
-    listed += ahead.split()
     ids = _Ids({_MARK: 0})
-    words = np.fromiter(map(ids.__getitem__, listed), np.int32, len(listed))
+    words = [np.fromiter(map(ids.__getitem__, listed), np.int32, len(listed)) for listed in _split(own)]
+    n_own = sum(map(len, words))
+    words.append(np.fromiter(map(ids.__getitem__, listed := ahead.split()), np.int32, len(listed)))
+    words = np.concatenate(words)
     vocabulary = list(ids)
-    del listed
     if depth == 1:
         sizes = np.bincount(words[:n_own], minlength=len(vocabulary))
         sizes[0], vocabulary[0] = sizes[1:].sum(), b""  # the empty phrase counts all words
@@ -150,17 +161,23 @@ def _partitions(lang: str, own: bytes, ahead: bytes, depth: int, known: Filter |
         if span == 1:
             left = known.holds(hashed)[words]
         else:
-            names = hashed[words[: n + 1]]
-            for i in range(1, span):
-                names = names ^ _turn(hashed[words[i : n + 1 + i]], i)
-            left = known.holds(names)
+            left = np.empty(n + 1, bool)
+            for at in range(0, n + 1, LOOKED_UP):
+                end = min(at + LOOKED_UP, n + 1)
+                names = hashed[words[at:end]]
+                for i in range(1, span):
+                    names ^= _turn(hashed[words[at + i : end + i]], i)
+                left[at:end] = known.holds(names)
         for i in range(2) if span > 1 else range(depth):
             alive &= left[i : n + i]
         heads, sizes = quicksort(words, np.flatnonzero(alive[:n_own]).astype(np.int32), depth)
         named = pa.array(vocabulary, pa.binary()).cast(pa.string())
-        phrases = pc.binary_join_element_wise(*[named.take(pa.array(words[heads + i])) for i in range(depth)], " ")
     for at in range(0, len(sizes), ROWS_OUT):
-        part = phrases.slice(at, ROWS_OUT)
+        if depth == 1:
+            part = phrases.slice(at, ROWS_OUT)
+        else:
+            some = heads[at : at + ROWS_OUT]
+            part = pc.binary_join_element_wise(*[named.take(pa.array(words[some + i])) for i in range(depth)], " ")
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), part, pa.array(sizes[at : at + ROWS_OUT].astype(np.int64))], ["lang", "phrase", "size"])
 
 

@@ -113,3 +113,18 @@ def test_edges(empty, odd):
     assert phrases.collocations(empty).count() == 0
     assert phrases.collocations(odd).count() == 0
     assert phrases.collocations(odd, min_count=1).count() == 0
+
+
+def test_a_chunk_takes_a_few_times_its_bytes():
+    """Most of a task's memory is what a chunk needs at once: words are split, looked up and joined part by part."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    own = b" ".join(np.char.add("w", rng.integers(0, 20_000, 600_000).astype(str)).astype("S").tolist())
+    known = phrases.Filter(np.full(1 << 10, ~np.uint64(0)))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in phrases._partitions("en", own, b"", 3, known))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 500_000
+    assert peak < 7.5 * len(own), peak / len(own)
