@@ -559,6 +559,24 @@ def test_quality_ratio(spark):
     assert sum(got[i].kept for i in range(120)) >= 110 and not any(got[i].kept for i in range(120, 160))
 
 
+def test_quality_trusts_every_labelled_document(spark, docs):
+    """Labels of other documents, however many and however low their ids, take nobody's place."""
+    own = spark.range(100).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    others = spark.range(-250_000, 0).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    alone, among = quality.fit_ratio(docs, own), quality.fit_ratio(docs, own.unionByName(others))
+    assert alone.threshold is not None
+    assert among.threshold == alone.threshold and among.weights == alone.weights
+
+
+def test_quality_percentile(spark):
+    rng = np.random.default_rng(3)
+    for values in ([0.5], [2.0, 1.0], [-1.0] * 50 + [3.0], [None, 1e-300, 2e-300, 1e300], rng.normal(size=3000).tolist() + [1e9] * 7):
+        df = spark.createDataFrame([(v,) for v in values], "s double")
+        for share in (0.0, 0.002, 0.25, 0.5, 1.0):
+            assert quality._percentile(df, share) == df.agg(F.percentile("s", F.lit(share))).first()[0]
+    assert quality._percentile(df.limit(0), 0.5) is None
+
+
 def test_quality_edges(spark, docs, empty, odd):
     labels = spark.createDataFrame([(None, None, None), (5, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.filter_quality(empty, labels).count() == 0
