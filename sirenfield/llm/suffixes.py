@@ -229,14 +229,20 @@ def _schema(ddl: str) -> pa.Schema:
 def _radix(data: np.ndarray, place: np.ndarray, group: np.ndarray, depth: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows at ``place`` of ``data`` -> (their indices, group of equal ones), only those in groups of two or more.
 
-    One pass per digit of the windows; groups of one leave after each.
+    One pass per digit of the windows; groups of one leave after each. A name gives its low bits to the window's number, so
+    that plain numbers are sorted; windows that share a name by chance are told apart by their bytes afterwards.
     """
     left, names = np.arange(len(place)), _hashes(data, digit)
     group = group.astype(np.int64)
     for at in range(0, depth, digit):
         key = _mixed(_mixed(group.astype(np.uint64) * np.uint64(_BASE)) + names[place[left] + at])
-        order = np.argsort(key, kind="stable")
-        key, left = key[order], left[order]
+        if not len(key):
+            break
+        bits = len(key).bit_length()
+        low = np.uint64((1 << bits) - 1)
+        key = np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64))
+        left = left[(key & low).astype(np.int64)]
+        key >>= np.uint64(bits)
         new = np.concatenate([[True], key[1:] != key[:-1]])
         number = np.cumsum(new) - 1
         more = np.bincount(number, minlength=1)[number] > 1
@@ -247,9 +253,13 @@ def _radix(data: np.ndarray, place: np.ndarray, group: np.ndarray, depth: int, d
 
 
 def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    out, step = np.empty(len(a), bool), np.arange(depth)
-    for i in range(0, len(a), 1 << 15):
-        out[i : i + (1 << 15)] = (data[a[i : i + (1 << 15), None] + step] == data[b[i : i + (1 << 15), None] + step]).all(axis=1)
+    """Whether ``depth`` bytes, eight or more, are the same at both places; eight at a time, the last ones may overlap."""
+    eight = np.ndarray((len(data) - 7,), np.uint64, np.ascontiguousarray(data), 0, (1,))
+    out = np.ones(len(a), bool)
+    for i in range(0, len(a), 1 << 17):
+        part = slice(i, i + (1 << 17))
+        for at in (*range(0, depth - 8, 8), depth - 8):
+            out[part] &= eight[a[part] + at] == eight[b[part] + at]
     return out
 
 
@@ -277,7 +287,7 @@ def _sorted_runs(depth: int, digit: int):
         left, equal = _radix(data, place, group[run] * 1024 + rows["rel"][run] - index, depth, digit)
         later = np.zeros(len(place), bool)
         if len(left):
-            order = np.lexsort((rank[run[left]], equal))
+            order = np.argsort(equal * (1 + rank.max()) + rank[run[left]])
             left, equal = left[order], equal[order]
             head = np.concatenate([[True], equal[1:] != equal[:-1]])
             lead = left[np.flatnonzero(head)[np.cumsum(head) - 1]]

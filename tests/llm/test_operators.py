@@ -607,3 +607,32 @@ def test_join_with_a_hot_key(spark):
             spark.conf.unset(key)
     assert sum(tasks) == want.where("k = 7").count() and max(tasks) < 0.6 * sum(tasks)
     assert join_counted(rows.limit(0), table, ["k", "j"]).count() == join_counted(rows, table.limit(0), ["k", "j"]).count() == 0
+
+
+def test_bytes_are_compared_eight_at_a_time():
+    data = np.frombuffer(bytes(range(97, 123)) * 40, np.uint8)
+    a = np.arange(0, 500)
+    for depth in (33, 40, 100):
+        assert suffixes._same_bytes(data, a, a + 26, depth).all()
+        for at in range(depth):  # one other byte anywhere in the window, none before or behind it
+            other = data.copy()
+            other[26 + at] = 0
+            assert not suffixes._same_bytes(other, np.array([26]), np.array([520]), depth)[0]
+        end = len(data) - depth
+        assert suffixes._same_bytes(data, np.array([end]), np.array([end - 26]), depth)[0]
+
+
+def test_radix_sort_finds_the_equal_windows(monkeypatch):
+    """Windows in groups, against a plain count; sorted as plain numbers, without an argsort of the names."""
+    monkeypatch.setattr(suffixes.np, "argsort", None)
+    rng = np.random.default_rng(5)
+    data = np.concatenate([rng.integers(97, 99, 300), np.full(200, 97), rng.integers(97, 99, 300)]).astype(np.uint8)
+    place, group = np.arange(len(data) - 39), rng.integers(0, 2, len(data) - 39)
+    left, equal = suffixes._radix(data, place, group, 40, 20)
+    got, want = {}, {}
+    for i, e in zip(left.tolist(), equal.tolist()):
+        got.setdefault(e, set()).add(i)
+    for i in place.tolist():
+        want.setdefault((group[i], data[i : i + 40].tobytes()), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+    assert not len(suffixes._radix(data, place[:0], group[:0], 40, 20)[0])
