@@ -1,7 +1,9 @@
 """Each operator against a plain re-statement, and on null, empty, repeated and clashing rows."""
 
 import base64
+import contextlib
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -568,6 +570,44 @@ def test_quality_trusts_every_labelled_document(spark, docs):
     assert among.threshold == alone.threshold and among.weights == alone.weights
 
 
+def test_quality_moves_no_texts(spark, monkeypatch):
+    """Where Spark broadcasts nothing by itself, ids meet in a shuffle, and neither texts nor n-grams do."""
+    plans, write = [], quality.stage
+
+    def noted(df, name):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        plans.append(out.getvalue())
+        return write(df, name)
+
+    monkeypatch.setattr(quality, "stage", noted)
+    docs = spark.range(4_000).selectExpr("id as doc_id", "repeat(concat('w', id % 97, ' v', id % 7, ' '), 30) as text")
+    labels = spark.range(0, 6_000, 2).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ratio = quality.fit_ratio(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    moved = [x for p in plans for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", p)]
+    assert any("_id#" in x for x in moved)
+    assert not [x for x in moved if "text#" in x or "grams#" in x]
+    assert ratio.weights == quality.fit_ratio(docs, labels).weights and ratio.threshold is not None
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_quality_trust_by_row(spark, monkeypatch, most):
+    """Every row of a trusted id counts, rows without an id never do, wherever in their files they lie."""
+    monkeypatch.setattr(quality, "MOST_MARKS", most)
+    rows = [(i % 90 if i % 10 else None, f"w{i}") for i in range(700)]
+    for parts in (1, 3, 9):
+        docs = spark.createDataFrame(rows, "_id long, grams string").repartition(parts)
+        trusted = spark.range(0, 90, 7).select(F.col("id").alias("_id"))
+        got = quality._marked(docs, trusted).collect()
+        assert sorted((r.grams, r.known) for r in got) == sorted((g, int(i is not None and i % 7 == 0)) for i, g in rows)
+
+
 def test_quality_percentile(spark):
     rng = np.random.default_rng(3)
     for values in ([0.5], [2.0, 1.0], [-1.0] * 50 + [3.0], [None, 1e-300, 2e-300, 1e300], rng.normal(size=3000).tolist() + [1e9] * 7):
