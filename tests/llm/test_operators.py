@@ -561,6 +561,64 @@ def test_quality_ratio(spark):
     assert sum(got[i].kept for i in range(120)) >= 110 and not any(got[i].kept for i in range(120, 160))
 
 
+def test_quality_reads_the_order_of_words(spark):
+    """Texts of the same words: the trusted ones keep them in an order that the others lack, which single words cannot tell."""
+    draw = random.Random(9)
+
+    def walk(steps):
+        at = draw.randrange(60)
+        return " ".join(f"w{(at := (at + draw.choice(steps)) % 60)}" for _ in range(200))
+
+    docs = spark.createDataFrame([(i, walk(range(1, 5) if i < 120 else range(60))) for i in range(240)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int")
+    ratio = quality.fit_ratio(docs, labels)
+    got = {i: r.score >= ratio.threshold for i, r in rows_of(quality.judge(docs, ratio)).items()}
+    assert sum(got[i] for i in range(120)) >= 90 and not any(got[i] for i in range(120, 240))
+
+
+def test_quality_n_grams(spark):
+    """Every word and every pair of words, in texts of any length; equal ones bear one name and others another."""
+    texts = ["", "a", "a b", "a b a b c", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", quality._names(quality._hashes(quality.words_of(quality.text_of()))).alias("n"))
+    for order in (1, 2, 3):
+        rows = docs.select("doc_id", quality._n_grams(F.col("n"), order).alias("g")).collect()
+        names = {}
+        for r in rows:
+            w = (texts[r.doc_id] or "").split()
+            said = [tuple(w[i:i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1)]
+            assert len(r.g) == len(said)
+            assert all(names.setdefault(x, g) == g for x, g in zip(said, r.g))
+        assert len(set(names.values())) == len(names)
+
+
+def test_quality_buckets_follow_the_corpus(spark):
+    """More distinct n-grams make more buckets, not more rows; the weights of all of them are in one row, in order."""
+    made = lambda texts, copies: spark.range(texts * copies).selectExpr("id as doc_id", f"array_join(transform(sequence(1, 500), i -> concat('w', (id % {texts}) * 500 + i)), ' ') as text")
+    labels = spark.range(0, 80, 2).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    few, again, many = (quality.fit_ratio(made(*x), labels) for x in ((2, 1), (2, 40), (80, 1)))
+    assert (few.buckets, again.buckets, many.buckets) == (512, 512, 2048)
+    assert len(few.weights) == 512 and len(many.weights) == 2048
+    docs = made(80, 1)
+    corpus, target = Counter(), Counter()
+    for r in docs.select("doc_id", quality._grams(quality._hashes(quality.words_of(F.col("text"))), 2048).alias("g")).collect():
+        corpus.update(r.g)
+        target.update(r.g if r.doc_id % 2 == 0 else [])
+    n, t = sum(corpus.values()) + 2048, sum(target.values()) + 2048
+    assert n == 80 * 999 + 2048
+    assert np.allclose(many.weights, [np.log((target[b] + 1) / t) - np.log((corpus[b] + 1) / n) for b in range(2048)], rtol=0, atol=1e-12)
+
+
+def test_quality_weights_enter_no_row(spark, docs):
+    """The weights are a subquery inside the score, in the query and in the filter: no plan has them as a column."""
+    labels = spark.range(100).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    judged = quality.judge(docs, quality.fit_ratio(docs, labels))
+    for df in (judged, judged.select("doc_id", "base_failed", "kept", "score"), quality.filter_quality(docs, labels)):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        assert "Subquery" in out.getvalue() and "_weights#" not in out.getvalue()
+
+
 def test_quality_trusts_every_labelled_document(spark, docs):
     """Labels of other documents, however many and however low their ids, take nobody's place."""
     own = spark.range(100).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
